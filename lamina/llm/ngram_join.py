@@ -15,7 +15,8 @@ which H + 1 or more segments are not empty meets every partner in an equal, non-
 A set is indexed in its own band's scheme, which also serves partners one band up, and in the scheme below if it
 can have partners there. Sets that share a key are compared star-wise: with one hub of the key first, and only what
 is not yet connected after that goes on, so large groups of near copies cost a comparison each and no link between
-components is left out. Each comparison is exact on the sets.
+components is left out. Each comparison is exact on the sets; before that, sizes and parity bitmaps (a bit for each
+token of a set, so the bits in which two differ are no more than the tokens in which the sets do) rule out most pairs.
 
 Texts: a-z for A-Z, words [^ \\x09-\\x0D]+. A null or empty text has an empty set, is linked with nothing and is its
 own component. Equal sets are one class. Rows with a null doc_id take part, but never name a component unless the
@@ -120,10 +121,19 @@ def class_of(tokens: np.ndarray) -> int:
 # ---------------------------------------------------------------- passes over the texts
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of 64, 128, ... bits, as many as tokens at least: int64 words; half of them folds onto the other half."""
+    words = max(1, 1 << max(0, (len(tokens) - 1).bit_length() - 6))
+    at = (mix(tokens + _ODD[6]) & _U(words * 64 - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=words * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         sets = [tokens_of(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+        columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "bits"])
 
 
 def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +256,42 @@ def _buckets(docs: DataFrame) -> DataFrame:
     return save(few.unionByName(kept).distinct(), "join-buckets")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that sizes and parity bitmaps do not rule out."""
+    side = classes.select("class", "n_shingles", "bits")
+    right = side.select(F.col("class").alias("b"), F.col("bits").alias("xb"), F.col("n_shingles").alias("nb"))
+    left = side.select(F.col("class").alias("a"), F.col("bits").alias("xa"), F.col("n_shingles").alias("na"))
+    both = pairs.join(right, "b").join(left, "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    longer, shorter = F.when(F.size("xa") >= F.size("xb"), F.col("xa")).otherwise(F.col("xb")), F.when(F.size("xa") >= F.size("xb"), F.col("xb")).otherwise(F.col("xa"))
+    both = both.select("a", "b", "na", "nb", longer.alias("x"), shorter.alias("y"))
+    half = (F.size("x") / 2).cast("int")
+    folded = F.when(F.size("x") > F.size("y"), F.zip_with(F.slice("x", F.lit(1), half), F.slice("x", half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col("x"))
+    both = both.withColumn("x", folded)
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+    return both.filter(apart * (100 + PERCENT) <= (F.col("na") + F.col("nb")) * (100 - PERCENT)).select("a", "b")
+
+
+def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, tokens) of the classes of pairs, from the text of one row each."""
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    chosen = wanted.join(classes, "class").select("first")
+    named = chosen.filter("first is not null").distinct()
+    side = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    texts = docs.select(F.col("doc_id").alias("first"), "text").join(side, "first", "left_semi").select("text")
+    if chosen.filter("first is null").limit(1).count():  # classes that only rows without a doc_id hold
+        texts = texts.unionByName(docs.filter("doc_id is null").select("text"))
+    return texts.mapInArrow(_sets, "class long, tokens array<long>").join(wanted, "class", "left_semi")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough, compared exactly."""
+    pairs = save(_possible(pairs, classes), "join-possible")
+    sets = save(_sets_of(pairs, classes, docs), "join-sets")
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"), F.size("tokens").alias("nb"))
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"), F.size("tokens").alias("na"))
-    both = pairs.join(right, "b").join(left, "a").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b")
+    both = pairs.join(right, "b").join(left, "a")
+    return both.filter(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b").distinct()
 
 
 def _cross(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -281,20 +320,15 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    rows = save(docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, class long"), "join-docs")
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
+    rows = save(docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, class long, bits array<long>"), "join-docs")
+    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
+    classes = save(classes, "join-classes")
     buckets = _buckets(docs)
-    wanted = buckets.select("class").distinct()
-    chosen = wanted.join(classes, "class").select("first").filter("first is not null").distinct()
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    texts = docs.select(F.col("doc_id").alias("first"), "text").join(side, "first", "left_semi").select("text")
-    nameless = docs.filter("doc_id is null").select("text")  # classes that only such rows hold
-    sets = save(texts.unionByName(nameless).mapInArrow(_sets, "class long, tokens array<long>").dropDuplicates(["class"]), "join-sets")
     edges = comps = None
 
     def compare(pairs: DataFrame) -> int:
         nonlocal edges, comps
-        found = save(_verify(pairs, sets), "join-links")
+        found = save(_verify(pairs, classes, docs), "join-links")
         n = found.count()
         edges = found if edges is None else edges.unionByName(found)
         if n:
@@ -314,10 +348,10 @@ def link_components(docs: DataFrame) -> DataFrame:
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
     comps = comps.select(F.col("node").alias("class"), "component")
-    named = classes.join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = classes.select("class", "first").join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "component").select("class", "component_id")
-    out = rows.join(ids, "class", "left")
+    out = rows.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
