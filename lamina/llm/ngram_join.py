@@ -10,12 +10,15 @@ which H + 1 or more segments are not empty meets every partner in an equal, non-
 * a set with too few takes one-deletion neighbourhoods too: a segment of two tokens or more then allows one
   difference, so it counts twice. A set that still has too few is indexed by each of its tokens;
 * subsets held by more than HOT sets are skipped by all sets that can afford it, those with H + 1 other segments;
-  such sets meet their partners there. Only sets that cannot (all but copies of each other) are compared by them.
+  such sets meet their partners there. Only sets that cannot (all but copies of each other) are compared by them, and
+  of its hot keys such a set needs just the rarest that bring it to H + 1: of two sets that miss H of each other's
+  keys at most, the first H + 1 in any common order share one.
 
 A set is indexed in its own band's scheme, which also serves partners one band up, and in the scheme below if it
 can have partners there. Sets that share a key are compared star-wise: with one hub of the key first, and only what
-is not yet connected after that goes on, so large groups of near copies cost a comparison each and no link between
-components is left out. Each comparison is exact on the sets; before that, sizes and parity bitmaps (a bit for each
+is not yet connected after two hubs goes on, so large groups of near copies cost a comparison each and no link between
+components is left out: keys that are not hot then give all their pairs, and the classes that hot keys tie together
+are compared by bitmaps in blocks, which gives out only the pairs that may be linked. Each comparison is exact on the sets; before that, sizes and parity bitmaps (a bit for each
 token of a set, so the bits in which two differ are no more than the tokens in which the sets do) rule out most pairs.
 
 Texts: a-z for A-Z, words [^ \\x09-\\x0D]+. A null or empty text has an empty set, is linked with nothing and is its
@@ -34,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import _ODD, mix, save, shingles, shuffle_partitions, word_hashes, words_of
@@ -43,7 +47,7 @@ WORDS = 5
 PERCENT = 75
 HOT = 40
 FLUSH = 1_500_000
-HUB_ROUNDS = 3  # star rounds on hot keys before what is left is compared pair by pair
+FAMILY_BLOCK = 512
 BROADCAST_ROWS = 200_000
 PLAIN, DEEP, SINGLE = 0, 1, 2  # key spaces
 _U = np.uint64
@@ -250,8 +254,11 @@ def _buckets(docs: DataFrame) -> DataFrame:
     plain = F.col("scheme") % 4 == PLAIN
     hot = shared.filter("hot")
     # classes that cannot spare their hot keys; keys of the other spaces are never skipped
-    tight = hot.filter(plain).groupBy("class", "scheme").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).filter("n > spare").select("class", "scheme")
-    kept = hot.filter(plain).join(tight, ["class", "scheme"], "left_semi").select("bucket", "class", "hot").unionByName(hot.filter(~plain).select("bucket", "class", "hot"))
+    size = hot.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    tight = hot.filter(plain).groupBy("class", "scheme").agg(F.count(F.lit(1)).alias("held"), F.min("spare").alias("least")).filter("held > least")
+    rows = hot.filter(plain).join(tight, ["class", "scheme"]).join(size, "bucket")
+    rank = F.row_number().over(W.partitionBy("class", "scheme").orderBy("n", "bucket"))
+    kept = rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("held") - F.col("least")).select("bucket", "class", "hot").unionByName(hot.filter(~plain).select("bucket", "class", "hot"))
     few = shared.filter("not hot").select("bucket", "class", "hot")
     return save(few.unionByName(kept).distinct(), "join-buckets")
 
@@ -313,11 +320,70 @@ def _star_pairs(rows: DataFrame, salt: int) -> DataFrame:
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one bucket's classes that are not connected. Only for small buckets, or what star rounds have left."""
+    """Pairs of one bucket's classes that are not connected. Only for buckets of HOT classes at most."""
     x, y = rows.select("bucket", F.col("class").alias("a"), F.col("comp").alias("ca")), rows.select("bucket", F.col("class").alias("b"), F.col("comp").alias("cb"))
     return x.join(y, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct()
 
 
+def _near(a: tuple, b: tuple) -> np.ndarray:
+    """Which pairs (rows of a, rows of b) sizes and parity bitmaps leave possible. a, b: (bitmaps of one length, sizes)."""
+    (xa, na), (xb, nb) = a, b
+    if xa.shape[1] > xb.shape[1]:
+        xa = xa[:, : xb.shape[1]] ^ xa[:, xb.shape[1] :]
+    elif xb.shape[1] > xa.shape[1]:
+        xb = xb[:, : xa.shape[1]] ^ xb[:, xa.shape[1] :]
+    out = np.zeros((len(xa), len(xb)), bool)
+    step = max(1, 2_000_000 // max(1, xb.size))
+    for i in range(0, len(xa), step):
+        apart = np.bitwise_count(xa[i : i + step, None, :] ^ xb[None, :, :]).sum(axis=2, dtype=np.int64)
+        both = na[i : i + step, None] + nb[None, :]
+        out[i : i + step] = apart * (100 + PERCENT) <= both * (100 - PERCENT)
+    return out
+
+
+def _compare_blocks(rows: pa.Table) -> pa.Table:
+    """Pairs of two blocks of a family (left: rows of the first) that are in different components and may be linked."""
+    left, right = [rows.filter(rows.column(c)) for c in ("left", "right")]
+    same = rows.column("same")[0].as_py() if rows.num_rows else False
+    out_a, out_b = [], []
+
+    def by_length(t: pa.Table) -> dict[int, tuple]:
+        got: dict[int, list] = {}
+        for i, bits in enumerate(t.column("bits").to_pylist()):
+            got.setdefault(len(bits), []).append((i, bits))
+        c, n, k = (t.column(x).to_numpy() for x in ("class", "n_shingles", "comp"))
+        return {w: (np.array([x for _, x in v], np.int64).view(_U).reshape(len(v), w), n[at], c[at], k[at]) for w, v in got.items() if (at := np.array([i for i, _ in v])) is not None}
+
+    a, b = by_length(left), by_length(right)
+    for wa, (xa, na, ca, ka) in a.items():
+        for wb, (xb, nb, cb, kb) in b.items():
+            if wa in (wb, 2 * wb) or wb == 2 * wa:
+                ok = _near((xa, na), (xb, nb)) & (ka[:, None] != kb[None, :])
+                if same:
+                    ok &= ca[:, None] < cb[None, :]
+                i, j = np.nonzero(ok)
+                out_a.append(ca[i])
+                out_b.append(cb[j])
+    none = np.empty(0, np.int64)
+    return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
+
+
+def _family_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Possible pairs among the classes that hot keys tie together. A class goes to one task for each block of its family."""
+    hubs = mixed.groupBy("bucket").agg(F.min("class").alias("a"))
+    ties = mixed.join(hubs, "bucket").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
+    family = components(ties).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    comp = mixed.select("class", "comp").distinct()
+    rows = family.join(size, "family").join(comp, "class").join(classes.select("class", "n_shingles", "bits"), "class")
+    blocks = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first = F.least("own", "other")
+    rows = rows.select("family", first.alias("i"), F.greatest("own", "other").alias("j"), "class", "n_shingles", "bits", "comp", (F.col("own") == first).alias("left"), (F.col("own") == F.greatest("own", "other")).alias("right"), (F.col("own") == F.col("other")).alias("same"))
+    return rows.groupBy("family", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     rows = save(docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, class long, bits array<long>"), "join-docs")
@@ -338,13 +404,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     few, hot = buckets.filter("not hot"), buckets.filter("hot")
     compare(_star_pairs(_cross(buckets, None), 0))
     compare(_all_pairs(_cross(few, comps)).unionByName(_star_pairs(_cross(hot, comps), 1)).distinct())
-    for salt in range(2, HUB_ROUNDS + 2):
-        mixed = save(_cross(hot, comps), "join-mixed")
-        if not mixed.limit(1).count():
-            break
-        if salt > HUB_ROUNDS or not compare(_star_pairs(mixed, salt)):
-            compare(_all_pairs(mixed))
-            break
+    mixed = save(_cross(hot, comps), "join-mixed")
+    if mixed.limit(1).count():
+        compare(_family_pairs(mixed, classes))
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
     comps = comps.select(F.col("node").alias("class"), "component")
