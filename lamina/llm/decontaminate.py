@@ -12,7 +12,7 @@ MAX_EDITS of the item's length.
 
 Items go to the tasks in blocks of at most ITEM_BLOCK, so what is broadcast is bounded; documents do not move.
 Null and empty texts hold no passage and give no rows; items of fewer than MIN_WORDS words are compared by equality
-of their words in a row. Rows with a null item_id or text are no items. A null doc_id is kept as null. Repeated rows
+of their words in a row, and items of fewer than GRAM words, which say too little to be a leak, are left out. Rows with a null item_id or text are no items. A null doc_id is kept as null. Repeated rows
 give repeated finds; an empty table gives an empty result; other columns are not read.
 """
 
@@ -108,7 +108,6 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [words_of(t) for _, t in rows]
         self.text = [normal(w) for w in self.words]
-        self.size = [min(GRAM, len(w)) for w in self.words]
         pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(self.words):
             for o, g in enumerate(grams(word_hashes(w), GRAM).tolist()):
