@@ -131,7 +131,9 @@ class Items:
         """(length of window, first word) where some item may stand."""
         g = grams(word_hashes(words), GRAM)
         hit = np.flatnonzero(self.bits[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        hit = hit[np.isin(g[hit], self.keys)] if len(hit) else hit
+        if len(hit):
+            at = np.minimum(np.searchsorted(self.keys, g[hit]), len(self.keys) - 1)
+            hit = hit[self.keys[at] == g[hit]]
         if len(hit) < 1:
             return set()
         seen: dict[int, list[int]] = defaultdict(list)
