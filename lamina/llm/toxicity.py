@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_POSITIVES = 6_000
-MAX_UNLABELLED = 12_000
+MAX_POSITIVES = 4_000
+MAX_UNLABELLED = 8_000
 BITS = 20
 STEMS = (4, 5, 6)  # bytes
 FOLDS = 5
@@ -146,7 +146,7 @@ def held_out(doc_id: Column) -> Column:
 def _featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in it:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["toxic", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(words.of(t), "<i4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["toxic", "ids"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
@@ -162,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     hidden = marks.orderBy(F.xxhash64(F.lit(12), "doc_id")).limit(MAX_UNLABELLED).withColumn("part", F.lit(0))
     wanted = chosen.unionByName(hidden).select("doc_id", "part")
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("part", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.mapInArrow(_featured, "toxic int, ids array<int>").collect()
-    get = lambda k: [np.array(r["ids"], np.int32) for r in rows if r["toxic"] == k]
+    rows = texts.mapInArrow(_featured, "toxic int, ids binary").collect()
+    get = lambda k: [np.frombuffer(r["ids"], "<i4") for r in rows if r["toxic"] == k]
     return train(get(1), get(0), prior)
 
 
