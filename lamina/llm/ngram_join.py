@@ -200,7 +200,7 @@ def _index(parts: int):
 
 
 def _gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of a part that several classes share: rows (bucket, class, hot, spare, key's band and space).
+    """The keys of a part that several classes share: rows (bucket, class, hot, spare, key's band and space, classes of the key).
 
     Keys with the same few classes give one bucket. Of hot keys all rows are given.
     """
@@ -238,7 +238,7 @@ def _gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first[np.unique(members, return_index=True)[1]] = True
     keep = ((sizes > 1) & (first | hot))[group]
     bucket = np.where(hot, mix(k[starts]), mix(members))[group][keep].view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c[keep]), pa.array(hot[group][keep]), pa.array(s[keep].astype(np.int32)), pa.array((k[keep] & _U(255)).astype(np.int32))], ["bucket", "class", "hot", "spare", "scheme"])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c[keep]), pa.array(hot[group][keep]), pa.array(s[keep].astype(np.int32)), pa.array((k[keep] & _U(255)).astype(np.int32)), pa.array(sizes[group][keep].astype(np.int64))], ["bucket", "class", "hot", "spare", "scheme", "n"])
 
 
 # ---------------------------------------------------------------- the join
@@ -249,16 +249,15 @@ def _buckets(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     index = docs.select("text").mapInArrow(_index(parts), "part int, low binary, high binary, row binary, classes binary, spare binary")
-    shared = index.repartitionById(parts, F.col("part")).mapInArrow(_gather, "bucket long, class long, hot boolean, spare int, scheme int")
+    shared = index.repartitionById(parts, F.col("part")).mapInArrow(_gather, "bucket long, class long, hot boolean, spare int, scheme int, n long")
     shared = save(shared, "join-shared")
     plain = F.col("scheme") % 4 == PLAIN
     hot = shared.filter("hot")
-    # classes that cannot spare their hot keys; keys of the other spaces are never skipped
-    size = hot.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    tight = hot.filter(plain).groupBy("class", "scheme").agg(F.count(F.lit(1)).alias("held"), F.min("spare").alias("least")).filter("held > least")
-    rows = hot.filter(plain).join(tight, ["class", "scheme"]).join(size, "bucket")
-    rank = F.row_number().over(W.partitionBy("class", "scheme").orderBy("n", "bucket"))
-    kept = rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("held") - F.col("least")).select("bucket", "class", "hot").unionByName(hot.filter(~plain).select("bucket", "class", "hot"))
+    # classes that cannot spare their hot keys, by the rarest of these; keys of the other spaces are never skipped
+    own = W.partitionBy("class", "scheme")
+    rank, held, least = F.row_number().over(own.orderBy("n", "bucket")), F.count(F.lit(1)).over(own), F.min("spare").over(own)
+    ranked = hot.filter(plain).select("bucket", "class", "hot", rank.alias("rank"), (held - least).alias("needed"))
+    kept = ranked.filter("rank <= needed").select("bucket", "class", "hot").unionByName(hot.filter(~plain).select("bucket", "class", "hot"))
     few = shared.filter("not hot").select("bucket", "class", "hot")
     return save(few.unionByName(kept).distinct(), "join-buckets")
 
