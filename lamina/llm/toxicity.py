@@ -167,12 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     return train(get(1), get(0), prior)
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; keep: also the other columns of docs."""
+def _free(name: str, docs: DataFrame) -> str:
+    """name, or name with a number, that no column of docs has in either case."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if n not in taken)
+
+
+def score_toxicity(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; keep: instead all columns of docs and the score by this name."""
     spark = docs.sparkSession
     used = model.used()
     packed = spark.sparkContext.broadcast((used, model.weights[:, used], model.bias))  # at most 2**BITS words
-    name = next(n for n in ("_score", *(f"_score{i}" for i in range(99))) if n not in docs.columns)
+    name = _free("_score", docs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, w, bias = packed.value
@@ -188,8 +194,9 @@ def score_toxicity(docs: DataFrame, model: Model, keep: bool = False) -> DataFra
     rows = docs if keep else docs.select("doc_id", "text")
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
     out = rows.mapInArrow(run, schema)
-    own = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted")]
-    return out.select(*own) if not keep else out.withColumn("predicted_toxic", (F.col(name) >= 0.5)).drop(name)
+    if keep:
+        return out.withColumnRenamed(name, keep)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,7 +205,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below 0.5, with docs' columns."""
-    columns = docs.columns
-    flag = "predicted_toxic"
-    rows = docs.drop(flag) if flag in columns else docs
-    return score_toxicity(rows, fit(rows, labels), keep=True).filter(~F.col(flag)).select(*[c for c in columns if c != flag])
+    score = _free("_score", docs)
+    return score_toxicity(docs, fit(docs, labels), keep=score).filter(F.col(score) < 0.5).drop(score)

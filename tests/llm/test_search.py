@@ -167,6 +167,10 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.toxicity(docs, marks.limit(0)).filter("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), marks).count() == 0
+    extra = docs.selectExpr("doc_id", "text", "doc_id as _score", "'kept' as predicted_toxic")
+    left = toxicity.without_toxic(extra, marks)
+    assert left.columns == extra.columns
+    assert {(r[0], r[2], r[3]) for r in left.collect()} == {(i, i, "kept") for i, r in got.items() if r["score"] < 0.5}
 
 
 def test_pipeline(spark, data):
