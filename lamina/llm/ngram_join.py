@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _ODD, mix, save, shingles, shuffle_partitions, word_hashes, words_of
 from .components import components
@@ -383,8 +384,8 @@ def _family_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("family", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def _named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, class, ..) of the documents; class, first (its least doc_id) and component of the classes."""
     rows = save(docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, class long, bits array<long>"), "join-docs")
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
     classes = save(classes, "join-classes")
@@ -409,7 +410,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, component long")
     comps = comps.select(F.col("node").alias("class"), "component")
-    named = classes.select("class", "first").join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return rows, classes.select("class", "first").join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    rows, named = _named_classes(docs)
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "component").select("class", "component_id")
     out = rows.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
@@ -417,11 +423,38 @@ def link_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def _marked(class_name: str, words_name: str):
+    """Rows with two more columns: the class of their text and whether it has words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [tokens_of(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            more = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) > 0 for s in sets], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, class_name, words_name])
+
+    return run
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their component: one document of each group stays. Of repeated rows one stays."""
-    linked = save(link_components(docs), "join-result")
-    keep = linked.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "_id")
-    size = keep.agg(F.count(F.lit(1)), F.max("n")).first()
-    side = F.broadcast(keep) if size[0] <= BROADCAST_ROWS else keep
-    out = docs.join(side.drop("n"), docs["doc_id"].eqNullSafe(side["_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if (size[1] or 0) > 1 else out
+    """One row of docs for each component, and every row whose text has no words.
+
+    The row is of the class that holds the component's least doc_id (null if it has none), of several the least class.
+    Where no doc_id occurs twice, doc_id alone tells that row; else the classes of the rows are computed again, as rows
+    of one doc_id may be of different components.
+    """
+    rows, named = _named_classes(docs)
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "class")).alias("best"))
+    keep = save(best.select(F.col("best.first").alias("_id"), F.col("best.class").alias("_class")), "join-keep")
+    side = F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep
+    empty = rows.filter("n_shingles = 0")
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() == 0:
+        ids = side.select("_id").unionByName(empty.select(F.col("doc_id").alias("_id")))
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    spare = (f"_{x}{i}" for i in range(999) for x in ("class", "words"))
+    class_name, words_name = [n for n in spare if n not in docs.columns][:2]
+    schema = T.StructType([*docs.schema.fields, T.StructField(class_name, T.LongType()), T.StructField(words_name, T.BooleanType())])
+    marked = docs.mapInArrow(_marked(class_name, words_name), schema)
+    full = marked.filter(F.col(words_name))
+    full = full.join(side, (full[class_name] == side["_class"]) & full["doc_id"].eqNullSafe(side["_id"]), "left_semi")
+    full = full.dropDuplicates([class_name])  # the same row twice, or the same words under one doc_id
+    return full.unionByName(marked.filter(~F.col(words_name))).select(*docs.columns)

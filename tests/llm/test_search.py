@@ -91,6 +91,20 @@ def test_jaccard_join(spark):
     assert ngram_join.link_components(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group_under_shared_ids(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, edited(b, 1)), (None, ""), (None, None), (5, c), (5, d), (5, d), (6, edited(d, 1)), (7, ""), (3, prose(40))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], DOC + ", _class int")
+    kept = ngram_join.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = [r["_class"] for r in kept.collect()]
+    assert len(got) == 8 and {0, 4, 5, 6, 10, 11} <= set(got)  # every empty text, and one row of each of a, b, c, d and the last
+    assert len({1, 2, 3} & set(got)) == 1 and len({7, 8} & set(got)) == 1
+    plain = ngram_join.one_of_each_group(docs.filter("_class in (0, 6, 9, 10, 11)"))
+    assert sorted(r["_class"] for r in plain.collect()) == [0, 6, 9, 10, 11]
+    assert ngram_join.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_every_pair_shares_a_key():
     for n in [1, 2, 5, 15, 31, 32, 63, 64, 200, 1000]:
         for _ in range(30):
