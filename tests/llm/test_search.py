@@ -161,6 +161,22 @@ def test_chains_are_best_colinear_scores():
     assert passages.chains(runs[[0, 1, 3]])[0] == [0, 1]
 
 
+def test_a_far_run_hides_no_near_one():
+    runs = np.array([[0, 200, 0, 200], [300, 330, 300, 330], [331, 360, 331, 360]])
+    assert passages.chains(runs) == [[0], [1, 2]]
+    for _ in range(200):
+        starts = sorted(R.sample(range(200), 12))
+        runs = np.array(sorted([b, b + n, a, a + n] for b in starts for a, n in [(R.randrange(200), R.randint(6, 40))]))
+        score = []
+        for b, e, a, _ in runs.tolist():
+            prior = [score[i] - passages.GAP_COST * (b - f + a - d) for i, (_, f, _, d) in enumerate(runs[: len(score)].tolist()) if 0 <= b - f <= passages.GAP and 0 <= a - d <= passages.GAP]
+            score.append(e - b + max([0.0, *prior]))
+        first, *_ = passages.chains(runs)
+        links = zip(first, first[1:])
+        got = sum(runs[i][1] - runs[i][0] for i in first) - passages.GAP_COST * sum(runs[j][0] - runs[i][1] + runs[j][2] - runs[i][3] for i, j in links)
+        assert got == max(score)
+
+
 def test_toxicity_held_out(spark):
     rows, labels = [], []
     for i in range(1500):
