@@ -155,6 +155,30 @@ def test_passages(spark):
             assert words_of(texts[r["doc_id"]])[r["start"] : r["end"]] == words_of(texts[r["match_doc_id"]])[r["match_start"] : r["match_end"]]
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    rows, want = [], {}
+    for c in range(8):  # in each case the last two documents share a passage, and the ones before hold parts of it
+        w = prose(60).split()
+        parts = [[(0, 30)], [(0, 45), (10, 60)], [(0, 30), (30, 60)], [(0, 49), (11, 60)], [(0, 20), (20, 40), (40, 60)], [(5, 55)], [(0, 59)], []][c]
+        held = [" ".join(w[a:b]) for a, b in parts]
+        between = [*held, *held]  # documents between the two, so that the one before holds a part only
+        for i, text in enumerate([*held, " ".join(w), *between, " ".join(w)]):
+            rows.append((100 * c + i, prose(30) + " " + text + " " + prose(30)))
+        want[rows[-1][0]] = c
+    got = passages.repeated_passages(spark.createDataFrame(rows, DOC)).collect()
+    for doc in want:
+        spots = {x for r in got if r["doc_id"] == doc for x in range(r["start"], r["end"])}
+        assert set(range(30, 90)) <= spots or (want[doc] in (5, 6) and len(spots) >= 50), want[doc]
+
+
+def test_least_cover():
+    for _ in range(300):
+        spans = [(a, a + R.randint(5, 30)) for a in (R.randrange(150) for _ in range(R.randint(0, 15)))]
+        kept = passages.least_cover(spans)
+        assert {x for i in kept for x in range(*spans[i])} == {x for s in spans for x in range(*s)}
+    assert len(passages.least_cover([(i, i + 50) for i in range(500)])) <= 12
+
+
 def test_chains_are_best_colinear_scores():
     runs = np.array([[0, 10, 100, 110], [12, 20, 112, 120], [12, 30, 0, 18], [40, 50, 130, 140]])
     assert passages.chains(runs) == [[2], [0, 1], [3]]  # 18 words; 18 words less 2 for the gap; 10 words
