@@ -1,14 +1,12 @@
-"""Operator 2. Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
-
-Texts are compared as their words (lower case A-Z, split on white space) joined by single spaces. Windows of an
-item's size start where a document shares word trigrams with an item: an item of w words of which t are changed
-still shares w - 2 - 3t trigrams, so at least SEEDS are left up to t = (w - 2 - SEEDS) / 3. Each window and item is
-embedded by CGK random walks (at step j the character under the pointer is put out and the pointer moves on or
-stays as a random function of j and the character says), which turns few edits into few differing places; keys are
-samples of SAMPLED places, TABLES of them, so a window of which a share p of the places agrees is found with
-probability 1 - (1 - p^SAMPLED)^TABLES: 0.95 or more down to p = 0.65. Windows that share a key with an item of
-their size are verified: the least edit distance of the item to any substring of the surroundings must be at most
-MAX_EDITS of the item's length.
+"""Operator 2. Benchmark decontamination: edit-tolerant seeds (pigeonhole over character pieces), exact edit verification.
+
+Texts are compared as their words (lower case A-Z, split on white space) joined by single spaces. An item of n
+characters may differ from its leak by e = MAX_EDITS * n edits. It is cut into n // PIECE pieces; an edit spoils one
+at most, so n // PIECE - e of them or more stand unedited in the leak, on diagonals that lie within e of each other.
+Every place of a document is looked up among the pieces, and wherever so many of an item's pieces lie so near each
+other the least edit distance of the item to any substring of the surroundings is computed: it must be at most e.
+Neither step samples, so no leak within MAX_EDITS is lost. (CGK embedding with bit-sampling LSH, used before, lost
+half of the longer items at 14% edits, and word trigrams lost items with a letter changed in every third word.)
 
 Items go to the tasks in blocks of at most ITEM_BLOCK, so what is broadcast is bounded; documents do not move.
 Null and empty texts hold no passage and give no rows; items of fewer than MIN_WORDS words are compared by equality
@@ -28,18 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grams, word_hashes, words_of
+from .common import words_of
 
 MAX_EDITS = 0.15
-SEEDS = 2
 GRAM = 3
 MIN_WORDS = 8
-SAMPLED, TABLES, WALKS = 4, 16, 4
+PIECE = 5  # 1 / PIECE must exceed MAX_EDITS
+BITS = 20
+SHIFT = 1 << 32  # makes places before the first text positive
+BATCH = 1_000_000
 ITEM_BLOCK = 20_000
-WINDOW_BLOCK = 4096
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _OUT = "doc_id long, item_id long, start int, end int, distance int, item_length int"
-_RNG = 20240607
 
 
 def normal(words: list[bytes]) -> str:
@@ -50,34 +48,36 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def embed(strings: list[str], steps: int) -> np.ndarray:
-    """CGK: uint32 array (strings, WALKS, steps); 0 stands past the end."""
-    n = max((len(s) for s in strings), default=0)
-    x = np.zeros((len(strings), n + 1), np.uint32)
-    for i, s in enumerate(strings):
-        x[i, : len(s)] = codes(s)
-    rng = np.random.default_rng(_RNG)
-    moves = rng.integers(0, 2, (steps, WALKS, 256), dtype=np.uint8)
-    at = np.zeros((len(strings), WALKS), np.int64)
-    out = np.zeros((len(strings), WALKS, steps), np.uint32)
-    rows, walks = np.arange(len(strings))[:, None], np.arange(WALKS)[None, :]
-    for j in range(steps):
-        c = x[rows, np.minimum(at, n)]
-        out[:, :, j] = c
-        at += moves[j][walks, (c * np.uint32(0x9E3779B1)) >> np.uint32(24)]
+def piece_keys(c: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the PIECE characters at each place."""
+    if len(c) < PIECE:
+        return np.empty(0, np.uint64)
+    c = c.astype(np.uint64)
+    out = np.zeros(len(c) - PIECE + 1, np.uint64)
+    for i in range(PIECE):
+        out = (out + c[i : len(c) - PIECE + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
     return out
 
 
-def places(length: int) -> np.ndarray:
-    """(TABLES, SAMPLED) places among the 2 * length steps that a walk over the item mostly takes."""
-    return np.random.default_rng(_RNG + length).integers(0, max(1, 2 * length), (TABLES, SAMPLED))
-
-
-def lsh_keys(strings: list[str], length: int) -> list[list[tuple]]:
-    e = embed(strings, 2 * length)
-    where = places(length)
-    got = e[:, np.arange(TABLES)[:, None] % WALKS, where]
-    return [[(t, g[t].tobytes()) for t in range(TABLES)] for g in got]
+def least_distance(item: str, region: str) -> int:
+    """The least edit distance of item to a substring of region, bit-parallel."""
+    same: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(item):
+        same[c] |= 1 << i
+    every, last = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, now = every, 0, len(item)
+    best = now
+    for c in region:
+        eq = same.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        more, less = down | (every & ~(flat | up)), up & flat
+        now += bool(more & last) - bool(less & last)
+        best = min(best, now)
+        more, less = (more << 1) & every, (less << 1) & every
+        level = eq | down
+        up, down = less | (every & ~(level | more)), more & level
+    return best
 
 
 def closest(item: str, region: str) -> tuple[int, int, int]:
@@ -108,86 +108,93 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [words_of(t) for _, t in rows]
         self.text = [normal(w) for w in self.words]
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, w in enumerate(self.words):
-            for o, g in enumerate(grams(word_hashes(w), GRAM).tolist()):
-                pairs[g].append((i, o))
-        self.pairs = dict(pairs)
-        self.keys = np.array(sorted(self.pairs), np.uint64)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.by_length: dict[int, list[int]] = defaultdict(list)
+        sizes = np.array([len(t) for t in self.text], np.int64)
+        self.edits = np.array([int(MAX_EDITS * n) if len(w) >= MIN_WORDS else 0 for n, w in zip(sizes.tolist(), self.words, strict=True)], np.int64)
+        self.need = np.maximum(1, sizes // PIECE - self.edits)
+        keys, item, off = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i, t in enumerate(self.text):
-            self.by_length[len(t)].append(i)
-        self.tables: dict[int, dict[tuple, list[int]]] = {}
-        for length, own in self.by_length.items():
-            table: dict[tuple, list[int]] = defaultdict(list)
-            for i, keys in zip(own, lsh_keys([self.text[i] for i in own], length), strict=True):
-                for k in keys:
-                    table[k].append(i)
-            self.tables[length] = dict(table)
-
-    def starts(self, words: list[bytes]) -> set[tuple[int, int]]:
-        """(length of window, first word) where some item may stand."""
-        g = grams(word_hashes(words), GRAM)
-        hit = np.flatnonzero(self.bits[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if len(hit):
-            at = np.minimum(np.searchsorted(self.keys, g[hit]), len(self.keys) - 1)
-            hit = hit[self.keys[at] == g[hit]]
-        if len(hit) < 1:
-            return set()
-        seen: dict[int, list[int]] = defaultdict(list)
-        for p in hit.tolist():
-            for i, o in self.pairs[int(g[p])]:
-                seen[i].append(p - o)
-        out = set()
-        for i, diagonals in seen.items():
-            w = len(self.words[i])
-            if len(diagonals) < min(SEEDS, max(1, w - GRAM + 1)):
-                continue
-            diagonals = sorted(diagonals)
-            reach = 2 + w // 4
-            for k, x in enumerate(diagonals):
-                if w < MIN_WORDS or (k and x - diagonals[k - 1] <= reach) or (k + 1 < len(diagonals) and diagonals[k + 1] - x <= reach):
-                    out.add((len(self.text[i]), max(0, x)))
-        return out
-
-
-def _verify(items: Items, i: int, words: list[bytes], first: int) -> tuple[int, int, int] | None:
+            k = piece_keys(codes(t))[::PIECE]
+            keys.append(k)
+            item.append(np.full(len(k), i))
+            off.append(np.arange(len(k)) * PIECE)
+        k, item, off = np.concatenate(keys), np.concatenate(item), np.concatenate(off)
+        order = np.argsort(k, kind="stable")
+        self.item, self.off = item[order], off[order]
+        self.keys, self.at, self.count = np.unique(k[order], return_index=True, return_counts=True)
+        self.bits = np.zeros(1 << BITS, bool)
+        self.bits[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+
+    def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place in text) such that a leak of the item starts, give or take the item's edits, at place to place + edits."""
+        g = piece_keys(text)
+        hit = np.flatnonzero(self.bits[(g >> np.uint64(64 - BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, g[hit]), max(0, len(self.keys) - 1))
+        good = self.keys[at] == g[hit] if len(self.keys) else np.zeros(len(hit), bool)
+        hit, at = hit[good], at[good]
+        n = self.count[at]
+        which = np.repeat(self.at[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+        item = self.item[which]
+        place = np.repeat(hit, n) - self.off[which] + SHIFT
+        both = np.sort((item << 40) | place)
+        item, place = both >> 40, (both & ((1 << 40) - 1)) - SHIFT
+        to = np.arange(len(both)) + self.need[item] - 1
+        last = np.minimum(to, max(0, len(both) - 1))
+        ok = (to < len(both)) & (item[last] == item) & (place[last] - place <= self.edits[item])
+        return item[ok], place[ok]
+
+
+def _verify(items: Items, i: int, text: str, place: int) -> tuple[int, int, int] | None:
     """(distance, first word, past the last word) or None."""
-    w = len(items.words[i])
-    allowed = int(MAX_EDITS * len(items.text[i])) if w >= MIN_WORDS else 0
-    lead = min(first, 2 + w // 4)
-    lo, hi = first - lead, min(len(words), first + w + 2 + w // 4)
-    region = normal(words[lo:hi])
-    d, s, e = closest(items.text[i], region)
-    if d > allowed:
+    allowed, size = int(items.edits[i]), len(items.text[i])
+    lo, hi = max(0, place - allowed), min(len(text), place + size + 3 * allowed)
+    while lo > 0 and text[lo - 1] != " ":  # whole words
+        lo -= 1
+    while hi < len(text) and text[hi] != " ":
+        hi += 1
+    region = text[lo:hi]
+    if region.startswith(" "):
+        lo, region = lo + 1, region[1:]
+    if items.text[i] not in region and (not allowed or least_distance(items.text[i], region) > allowed):
         return None
-    head, tail = region[:s], region[:e]
-    if w < MIN_WORDS and ((head and head[-1] != " ") or (len(tail) < len(region) and region[len(tail)] != " ")):
-        return None
-    return d, lo + head.count(" "), lo + tail.rstrip(" ").count(" ") + 1
+    w = len(items.words[i])
+    if w < MIN_WORDS:
+        s = f" {region} ".find(f" {items.text[i]} ")
+        if s < 0:
+            return None
+        d, e = 0, s + size
+    else:
+        d, s, e = closest(items.text[i], region)
+    before = text[:lo].count(" ")
+    return d, before + region[:s].count(" "), before + region[:e].rstrip(" ").count(" ") + 1
 
 
 def _scan(rows: list[tuple[int, str]]):
+    made: list[Items] = []
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
+        if not made:
+            made.append(Items(rows))
+        items = made[0]
+        batch = max(50_000, BATCH * 200 // max(200, len(rows)))  # a piece then stands in more items
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32()), ("item_length", pa.int32())])
 
-        def settle(waiting: dict[int, list], texts: list) -> pa.RecordBatch:
+        def settle(texts: list) -> pa.RecordBatch:
             found: dict[tuple[int, int], list] = defaultdict(list)
-            for length, windows in waiting.items():
-                table = items.tables[length]
-                for at in range(0, len(windows), WINDOW_BLOCK):
-                    part = windows[at : at + WINDOW_BLOCK]
-                    strings = [normal(texts[d][2][s : s + length])[:length] for d, s in part]
-                    for (d, s), keys in zip(part, lsh_keys(strings, length), strict=True):
-                        for i in {i for k in keys for i in table.get(k, ())}:
-                            if (hit := _verify(items, i, texts[d][2], s)) is not None:
-                                found[d, i].append(hit)
+            starts = np.cumsum([0, *(len(t[2]) + 1 for t in texts)])
+            which, place = items.candidates(codes("\n".join(t[2] for t in texts)))
+            done = (-1, -1, -1)  # item, text, last place that the region just verified stands for
+            for i, p in zip(which.tolist(), place.tolist(), strict=True):
+                e = int(items.edits[i])
+                first, last = (min(len(texts) - 1, max(0, int(np.searchsorted(starts, x, "right")) - 1)) for x in (p - e, p + len(items.text[i]) + 2 * e))
+                if (i, first) == done[:2] and p <= done[2]:
+                    continue
+                done = (i, first, p + e)
+                for d in range(first, last + 1):
+                    if (hit := _verify(items, i, texts[d][2], p - int(starts[d]))) is not None:
+                        found[d, i].append(hit)
             out = []
             for (d, i), hits in sorted(found.items()):
-                doc_id, text, words = texts[d]
+                doc_id, text, _ = texts[d]
                 spots = [m.span() for m in _WORD.finditer(text)]
                 taken: list[tuple[int, int]] = []
                 for dist, a, b in sorted(set(hits)):
@@ -196,22 +203,19 @@ def _scan(rows: list[tuple[int, str]]):
                         out.append((doc_id, items.ids[i], spots[a][0], spots[min(b, len(spots)) - 1][1], dist, len(items.text[i])))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.field(k).type) for k in range(6)], schema=schema)
 
-        waiting, texts, held = defaultdict(list), [], 0
+        texts, held = [], 0
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                starts = items.starts(words)
-                if not starts:
+                if not words:
                     continue
-                for length, s in starts:
-                    waiting[length].append((len(texts), s))
-                texts.append((doc_id, text, words))
+                texts.append((doc_id, text, normal(words)))
                 held += len(text)
-                if held > 8_000_000:
-                    yield settle(waiting, texts)
-                    waiting, texts, held = defaultdict(list), [], 0
+                if held > batch:
+                    yield settle(texts)
+                    texts, held = [], 0
         if texts:
-            yield settle(waiting, texts)
+            yield settle(texts)
 
     return run
 
@@ -226,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for i in range(blocks):
         rows = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items).collect()
-        rows = sorted((r[0], r[1]) for r in rows if words_of(r[1]))
+        rows = sorted((r[0], r[1]) for r in rows if len(words_of(r[1])) >= GRAM)
         if rows:
             part = narrow.mapInArrow(_scan(rows), _OUT)
             out = part if out is None else out.unionByName(part)
@@ -235,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark, with docs' columns. One pass: texts are not shuffled."""
-    rows = sorted((r[0], r[1]) for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").limit(ITEM_BLOCK + 1).collect() if words_of(r[1]))
+    rows = sorted((r[0], r[1]) for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").limit(ITEM_BLOCK + 1).collect() if len(words_of(r[1])) >= GRAM)
     if len(rows) > ITEM_BLOCK:  # more items than one broadcast holds: by way of the finds
         bad = find_leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
         return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")

@@ -136,6 +136,28 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_no_leak_within_the_edits_is_lost(spark):
+    rows, items, want = [], [], set()
+    for k, n in enumerate([9, 15, 30, 60] * 12):
+        item = prose(n)
+        chars, allowed = list(item), int(decontaminate.MAX_EDITS * len(item))
+        if k % 3 == 0:  # a letter in every third word, or about as many as may change
+            at = [len(" ".join(item.split()[:i])) + 1 for i in range(1, n, 3)][:allowed]
+        else:
+            at = sorted(R.sample([i for i, c in enumerate(chars) if c != " "], allowed))
+        for i in reversed(at):
+            chars[i : i + 1] = "#" if k % 3 < 2 else R.choice(["", "#", chars[i] + "#"])
+        items.append((k, item))
+        rows.append((k, prose(40) + " " + "".join(chars) + " " + prose(40)))
+        leak = " ".join(rows[-1][1].split())
+        if decontaminate.least_distance(item, leak) <= allowed:
+            want.add((k, k))
+        assert decontaminate.least_distance(item, leak) == decontaminate.closest(item, leak)[0]
+    assert len(want) == len(rows)
+    docs, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame(items, "item_id long, text string")
+    assert want <= {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+
+
 def test_closest():
     assert decontaminate.closest("abcdef", "xxabXdefyy") == (1, 2, 8)
     assert decontaminate.closest("abc", "zabcz") == (0, 1, 4)
