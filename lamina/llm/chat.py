@@ -132,7 +132,8 @@ def json_turns(df: DataFrame, column: str = "payload") -> DataFrame:
 
     def inside(c: str) -> Column:
         keys = sorted(p.split("[].")[1] for p in KNOWN if p.startswith(f"{c}[]"))
-        held = F.coalesce(F.json_object_keys(F.get_json_object(raw, f"$.{c}[0]")), none)
+        items = F.from_json(F.get_json_object(raw, f"$.{c}"), "array<string>")
+        held = F.array_distinct(F.flatten(F.transform(F.coalesce(items, none), lambda x: F.coalesce(F.json_object_keys(x), none))))
         return F.when(F.array_contains(top, c), F.transform(F.filter(held, lambda k: k.isin(*keys)), lambda k: F.concat(F.lit(f"{c}[]."), k))).otherwise(none)
 
     paths = F.concat(F.filter(top, lambda k: k.isin(*plain)), inside("messages"), inside("conversations"))

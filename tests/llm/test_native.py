@@ -136,3 +136,10 @@ def test_layouts(spark):
     assert [None if g is None else [(t["role"], t["text"]) for t in g] for g in got] == [[("user", "hi")], [("user", "p"), ("assistant", "r")], [("user", "do"), ("assistant", "ok")], [("user", "q"), ("assistant", "a")], None, None, None]
     nested = spark.createDataFrame([([("human", "x")],)], "conversations array<struct<`from`:string,value:string>>")
     assert chat.canonical_turns(nested).first()["turns"][0]["role"] == "user"
+
+
+def test_layouts_with_partial_messages(spark):
+    rows = ['{"messages":[{},{"role":"user","content":"hi"}]}', '{"messages":[{"role":"user"},{"role":"assistant","content":"yo"}]}', '{"conversations":[{"from":"human"},null,{"value":"a"}]}']
+    got = [r["turns"] for r in chat.json_turns(spark.createDataFrame([(r,) for r in rows], "payload string")).collect()]
+    assert None not in got
+    assert [(t["role"], t["text"]) for t in got[0]][-1] == ("user", "hi") and [t["text"] for t in got[1]][-1] == "yo" and len(got[2]) == 3
