@@ -115,8 +115,8 @@ def str_utf8_len_sub_reverse(spark, d):
 
 @query("SELECT doc_id, unicode(text) AS first_code, unicode(substring(text, 2, 1)) AS second_code FROM documents")
 def str_codepoints(spark, d):
-    c = X.codepoints(F.col("text"), 1, 2)
-    return _docs(spark, d).select("doc_id", F.get(c, F.lit(0)).alias("first_code"), F.get(c, F.lit(1)).alias("second_code"))
+    c, none = X.codepoints(F.col("text"), 1, 2), F.when(F.col("text").isNotNull(), -1)  # -1: the text has no such place
+    return _docs(spark, d).select("doc_id", F.coalesce(F.get(c, F.lit(0)), none).alias("first_code"), F.coalesce(F.get(c, F.lit(1)), none).alias("second_code"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CAST(instr(url, '://') AS INTEGER) AS at FROM pages")

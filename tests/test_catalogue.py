@@ -31,3 +31,14 @@ def test_cover_tiles_chunks_and_points_back(spark, data):
 def test_fingerprints_follow_anchors(spark, data):
     n = sum(r["n"] for r in catalogue.QUERIES["anchor_fingerprint"](spark, data).collect())
     assert n == catalogue.QUERIES["anchor_positions"](spark, data).filter("anchor is not null").count()
+
+
+def test_codepoints_of_short_texts(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a"), (2, ""), (3, None), (4, "\U0001d4b3b"), (5, "\n\u0301")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["str_codepoints"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["str_codepoints"]).fetchall())
