@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words_of
+from .common import small_batches, words_of
 
 MAX_EDITS = 0.15
 GRAM = 3
@@ -222,6 +222,7 @@ def _scan(rows: list[tuple[int, str]]):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (code points), distance, item_length of every passage found."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     n = items.count()
@@ -239,6 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark, with docs' columns. One pass: texts are not shuffled."""
+    small_batches(docs.sparkSession)
     rows = sorted((r[0], r[1]) for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").limit(ITEM_BLOCK + 1).collect() if len(words_of(r[1])) >= GRAM)
     if len(rows) > ITEM_BLOCK:  # more items than one broadcast holds: by way of the finds
         bad = find_leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")

@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +40,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _ODD, mix, save, shingles, shuffle_partitions, word_hashes, words_of
+from .common import _ODD, mix, save, shingles, shuffle_partitions, small_batches, word_hashes, words_of
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 HOT = 40
-FLUSH = 1_500_000
+FLUSH = 750_000
+SEEN = 200_000  # classes that a task remembers so as to skip copies
 FAMILY_BLOCK = 512
 BROADCAST_ROWS = 200_000
 PLAIN, DEEP, SINGLE = 0, 1, 2  # key spaces
@@ -59,9 +59,17 @@ def differences(a: int, b: int) -> int:
     return (100 - PERCENT) * (a + b) // (100 + PERCENT)
 
 
-@lru_cache(maxsize=None)
+_SEGMENTS: dict[int, int] = {}  # what segments() has found; a plain dict, so that it travels to workers by value
+
+
 def segments(band: int) -> int:
     """Segments of a band's scheme; 0: every token is a segment of its own."""
+    if band not in _SEGMENTS:
+        _SEGMENTS[band] = _fewest(band)
+    return _SEGMENTS[band]
+
+
+def _fewest(band: int) -> int:
     top = 2 ** (band + 1) - 1
     if top < 32:
         return 0
@@ -181,7 +189,7 @@ def _index(parts: int):
                 c = class_of(tokens)
                 if c in seen:  # a copy in the same task adds nothing
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(c)
                 for band, need in schemes(len(tokens)):
@@ -386,6 +394,7 @@ def _family_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _named_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, class, ..) of the documents; class, first (its least doc_id) and component of the classes."""
+    small_batches(docs.sparkSession)
     rows = save(docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, class long, bits array<long>"), "join-docs")
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
     classes = save(classes, "join-classes")

@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MAX_POSITIVES = 4_000
 MAX_UNLABELLED = 8_000
 BITS = 20
 STEMS = (4, 5, 6)  # bytes
 FOLDS = 5
 CLASSIFIERS = 3
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 _MASK = (1 << BITS) - 1
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if (97 <= b <= 122 or b >= 128 or 48 <= b <= 57) else 32 for b in range(256))
 
@@ -150,6 +152,7 @@ def _featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
+    small_batches(docs.sparkSession)
     order = F.xxhash64(F.lit(11), "doc_id")
     marks = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = marks.agg(F.sum("toxic"), F.count(F.lit(1))).first()
@@ -176,6 +179,7 @@ def _free(name: str, docs: DataFrame) -> str:
 def score_toxicity(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; keep: instead all columns of docs and the score by this name."""
     spark = docs.sparkSession
+    small_batches(spark)
     used = model.used()
     packed = spark.sparkContext.broadcast((used, model.weights[:, used], model.bias))  # at most 2**BITS words
     name = _free("_score", docs)
