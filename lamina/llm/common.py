@@ -33,6 +33,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Parts for what a task gathers in Python: spark.sql.shuffle.partitions, or more, so that each has at most `each` bytes of df's files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()) if leaves.apply(i).nodeName().startswith("LogicalRelation")]
+    return max(shuffle_partitions(df.sparkSession), min(sum(sizes) // each, 1_000_000))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -203,13 +203,13 @@ def test_least_cover():
 
 def test_chains_are_best_colinear_scores():
     runs = np.array([[0, 10, 100, 110], [12, 20, 112, 120], [12, 30, 0, 18], [40, 50, 130, 140]])
-    assert passages.chains(runs) == [[2], [0, 1], [3]]  # 18 words; 18 words less 2 for the gap; 10 words
-    assert passages.chains(runs[[0, 1, 3]])[0] == [0, 1]
+    assert passages.chains(runs, 0.5) == [[2], [0, 1], [3]]  # 18 words; 18 words less 2 for the gap; 10 words
+    assert passages.chains(runs[[0, 1, 3]], 0.5)[0] == [0, 1]
 
 
 def test_a_far_run_hides_no_near_one():
     runs = np.array([[0, 200, 0, 200], [300, 330, 300, 330], [331, 360, 331, 360]])
-    assert passages.chains(runs) == [[0], [1, 2]]
+    assert passages.chains(runs, 0.5) == [[0], [1, 2]]
     for _ in range(200):
         starts = sorted(R.sample(range(200), 12))
         runs = np.array(sorted([b, b + n, a, a + n] for b in starts for a, n in [(R.randrange(200), R.randint(6, 40))]))
