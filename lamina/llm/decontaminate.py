@@ -1,17 +1,23 @@
-"""Operator 2. Benchmark decontamination: edit-tolerant seeds (pigeonhole over character pieces), exact edit verification.
+"""Operator 2. Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
 
 Texts are compared as their words (lower case A-Z, split on white space) joined by single spaces. An item of n
-characters may differ from its leak by e = MAX_EDITS * n edits. It is cut into n // PIECE pieces; an edit spoils one
-at most, so n // PIECE - e of them or more stand unedited in the leak, on diagonals that lie within e of each other.
-Every place of a document is looked up among the pieces, and wherever so many of an item's pieces lie so near each
-other the least edit distance of the item to any substring of the surroundings is computed: it must be at most e.
-Neither step samples, so no leak within MAX_EDITS is lost. (CGK embedding with bit-sampling LSH, used before, lost
-half of the longer items at 14% edits, and word trigrams lost items with a letter changed in every third word.)
+characters may differ from its leak by MAX_EDITS * n edits. Windows begin at every word of a document and of an item.
+A CGK walk reads a window by STEPS steps: each writes the character that the walk stands on, and a random bit of step
+and character tells whether it moves on; two windows that differ by an edit soon walk in step again, so edit distance
+becomes Hamming distance. Each of TABLES tables has a walk of its own and a key of SAMPLED sampled steps. Where keys of
+an item's windows (one in SEVERAL, one at least) stand in a document on diagonals that lie within its edits of each
+other, the least edit distance of the item to any substring of the surroundings is computed.
+
+Windows are shorter than items, and an item has one at each word: walks over whole items agree at too few steps
+(measured at 14% edits, 4 samples in 16 tables: recall 0.75, 0.51, 0.35 for items of 15, 30 and 60 words). TABLES and
+SAMPLED are chosen for a recall of 0.95 of items of 15 words or more at MAX_EDITS; README has the recall measured
+against full edit distances.
 
 Items go to the tasks in blocks of at most ITEM_BLOCK, so what is broadcast is bounded; documents do not move.
 Null and empty texts hold no passage and give no rows; items of fewer than MIN_WORDS words are compared by equality
-of their words in a row, and items of fewer than GRAM words, which say too little to be a leak, are left out. Rows with a null item_id or text are no items. A null doc_id is kept as null. Repeated rows
-give repeated finds; an empty table gives an empty result; other columns are not read.
+of their words in a row, and items of fewer than GRAM words, which say too little to be a leak, are left out. Rows with
+a null item_id or text are no items. A null doc_id is kept as null. Repeated rows give repeated finds; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, words_of
+from .common import save, small_batches, words_of
 
 MAX_EDITS = 0.15
 GRAM = 3
 MIN_WORDS = 8
-PIECE = 5  # 1 / PIECE must exceed MAX_EDITS
+STEPS = 16
+SAMPLED = 11
+TABLES = 10
+ADVANCE = 0.8  # share of the bits that move a walk on
+SEVERAL = 8  # of so many windows of an item one must be found
 BITS = 20
 SHIFT = 1 << 32  # makes places before the first text positive
 BATCH = 1_000_000
@@ -48,18 +58,42 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def piece_keys(c: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the PIECE characters at each place."""
-    if len(c) < PIECE:
-        return np.empty(0, np.uint64)
-    c = c.astype(np.uint64)
-    out = np.zeros(len(c) - PIECE + 1, np.uint64)
-    for i in range(PIECE):
-        out = (out + c[i : len(c) - PIECE + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+def _walks() -> list[tuple[np.ndarray, list[bool]]]:
+    """(moves by step and letter, sampled steps) of each table."""
+    rng = np.random.default_rng(2)
+    out = []
+    for _ in range(TABLES):
+        moves = (rng.random((STEPS, 256)) < ADVANCE).astype(np.int64)
+        chosen = set(rng.choice(STEPS, SAMPLED, replace=False).tolist())
+        out.append((moves, [t in chosen for t in range(STEPS)]))
     return out
 
 
+def letters(c: np.ndarray) -> np.ndarray:
+    """Code points hashed to 256 letters, and room for the walks of the last windows."""
+    small = ((c.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+    return np.r_[small, np.zeros(STEPS, np.uint8)]
+
+
+def window_keys(c: np.ndarray, starts: np.ndarray, walk: tuple[np.ndarray, list[bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, end) of the walk from each start; windows by thousands, so that they stay in the cache."""
+    moves, sampled = walk
+    keys, ends = np.zeros(len(starts), np.uint64), np.empty(len(starts), np.int64)
+    for a in range(0, len(starts), 16_384):
+        at, key = starts[a : a + 16_384].copy(), keys[a : a + 16_384]
+        for t in range(len(sampled)):
+            now = c.take(at)
+            if sampled[t]:
+                key *= np.uint64(0x9E3779B97F4A7C15)
+                key += now
+            at += moves[t].take(now)
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+        ends[a : a + 16_384] = at
+    return keys, ends
+
+
 def least_distance(item: str, region: str) -> int:
     """The least edit distance of item to a substring of region, bit-parallel."""
     same: dict[str, int] = defaultdict(int)
@@ -110,37 +144,58 @@ class Items:
         self.text = [normal(w) for w in self.words]
         sizes = np.array([len(t) for t in self.text], np.int64)
         self.edits = np.array([int(MAX_EDITS * n) if len(w) >= MIN_WORDS else 0 for n, w in zip(sizes.tolist(), self.words, strict=True)], np.int64)
-        self.need = np.maximum(1, sizes // PIECE - self.edits)
-        keys, item, off = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, t in enumerate(self.text):
-            k = piece_keys(codes(t))[::PIECE]
-            keys.append(k)
-            item.append(np.full(len(k), i))
-            off.append(np.arange(len(k)) * PIECE)
-        k, item, off = np.concatenate(keys), np.concatenate(item), np.concatenate(off)
-        order = np.argsort(k, kind="stable")
-        self.item, self.off = item[order], off[order]
-        self.keys, self.at, self.count = np.unique(k[order], return_index=True, return_counts=True)
-        self.bits = np.zeros(1 << BITS, bool)
-        self.bits[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        self.walks = _walks()
+        places = [np.flatnonzero(np.r_[True, codes(t)[:-1] == 32]) for t in self.text]
+        least = min((len(t) for t in self.text), default=STEPS)
+        if least < STEPS:  # items that a walk may leave have a table of their own, of as many steps as they have characters
+            self.walks.append((self.walks[0][0][:least], [True] * least))
+        self.need = np.array([max(1, len(x) // SEVERAL) for x in places], np.int64)
+        self.tables = []
+        for number, walk in enumerate(self.walks):
+            keys, item, off = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, (t, starts) in enumerate(zip(self.text, places, strict=True)):
+                if (len(t) < STEPS) != (number == TABLES):
+                    continue
+                k, end = window_keys(letters(codes(t)), starts, walk)
+                good = end <= len(t)
+                keys.append(k[good])
+                item.append(np.full(int(good.sum()), i))
+                off.append(starts[good])
+            k, item, off = np.concatenate(keys), np.concatenate(item), np.concatenate(off)
+            order = np.argsort(k, kind="stable")
+            keys, at, count = np.unique(k[order], return_index=True, return_counts=True)
+            bits = np.zeros(1 << BITS, bool)
+            bits[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.tables.append((keys, at, count, item[order], off[order], bits))
 
     def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, place in text) such that a leak of the item starts, give or take the item's edits, at place to place + edits."""
-        g = piece_keys(text)
-        hit = np.flatnonzero(self.bits[(g >> np.uint64(64 - BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, g[hit]), max(0, len(self.keys) - 1))
-        good = self.keys[at] == g[hit] if len(self.keys) else np.zeros(len(hit), bool)
-        hit, at = hit[good], at[good]
-        n = self.count[at]
-        which = np.repeat(self.at[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-        item = self.item[which]
-        place = np.repeat(hit, n) - self.off[which] + SHIFT
-        both = np.sort((item << 40) | place)
-        item, place = both >> 40, (both & ((1 << 40) - 1)) - SHIFT
-        to = np.arange(len(both)) + self.need[item] - 1
-        last = np.minimum(to, max(0, len(both) - 1))
-        ok = (to < len(both)) & (item[last] == item) & (place[last] - place <= self.edits[item])
-        return item[ok], place[ok]
+        c = letters(text)
+        starts = np.flatnonzero(np.r_[True, (text[:-1] == 32) | (text[:-1] == 10)])
+        items, places, offs = [], [], []
+        for walk, (keys, first, count, item, off, bits) in zip(self.walks, self.tables, strict=True):
+            if not len(keys):
+                continue
+            g, _ = window_keys(c, starts, walk)
+            hit = np.flatnonzero(bits[(g >> np.uint64(64 - BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(keys, g[hit]), len(keys) - 1)
+            good = keys[at] == g[hit]
+            hit, at = hit[good], at[good]
+            n = count[at]
+            which = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+            items.append(item[which])
+            offs.append(off[which])
+            places.append(np.repeat(starts[hit], n) - off[which] + SHIFT)
+        none = np.empty(0, np.int64)
+        item, place, off = np.concatenate([none, *items]), np.concatenate([none, *places]), np.concatenate([none, *offs])
+        order = np.lexsort((off, place, item))
+        item, place, off = item[order], place[order], off[order]
+        new = np.r_[True, (item[1:] != item[:-1]) | (place[1:] != place[:-1]) | (off[1:] != off[:-1])] if len(item) else np.empty(0, bool)
+        item, place = item[new], place[new]  # one window found by several tables counts once
+        to = np.arange(len(item)) + self.need[item] - 1
+        last = np.minimum(to, max(0, len(item) - 1))
+        ok = (to < len(item)) & (item[last] == item) & (place[last] - place <= self.edits[item])
+        return item[ok], place[ok] - SHIFT
 
 
 def _verify(items: Items, i: int, text: str, place: int) -> tuple[int, int, int] | None:
@@ -220,35 +275,43 @@ def _scan(rows: list[tuple[int, str]]):
     return run
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """(number of blocks, items) of each block of about ITEM_BLOCK items, one in the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    n = max(1, -(-items.count() // ITEM_BLOCK))
+    for i in range(n):
+        rows = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items).collect()
+        if rows := sorted((r[0], r[1]) for r in rows if len(words_of(r[1])) >= GRAM):
+            yield n, rows
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (code points), distance, item_length of every passage found."""
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    n = items.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for i in range(blocks):
-        rows = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items).collect()
-        rows = sorted((r[0], r[1]) for r in rows if len(words_of(r[1])) >= GRAM)
-        if rows:
-            part = narrow.mapInArrow(_scan(rows), _OUT)
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], _OUT)
+    for n, rows in _blocks(benchmark):
+        part = narrow.mapInArrow(_scan(rows), _OUT)
+        part = save(part, "leaks") if n > 1 else part
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else docs.sparkSession.createDataFrame([], _OUT)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no passage of the benchmark, with docs' columns. One pass: texts are not shuffled."""
+    """The rows of docs that hold no passage of the benchmark, with docs' columns: a pass for each block of items, row by row.
+
+    Texts are not shuffled, and doc_id plays no part."""
     small_batches(docs.sparkSession)
-    rows = sorted((r[0], r[1]) for r in benchmark.select("item_id", "text").filter("item_id is not null and text is not null").limit(ITEM_BLOCK + 1).collect() if len(words_of(r[1])) >= GRAM)
-    if len(rows) > ITEM_BLOCK:  # more items than one broadcast holds: by way of the finds
-        bad = find_leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
-    if not rows:
-        return docs
+    for n, rows in _blocks(benchmark):
+        docs = _clean_rows(docs, rows)
+        docs = save(docs, "leaks-left") if n > 1 else docs
+    return docs
+
+
+def _clean_rows(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     columns = docs.columns
-    row = next(n for n in ("_row", *(f"_row{i}" for i in range(99))) if n not in columns)
+    taken = {c.lower() for c in columns}
+    row = next(n for n in ("_row", *(f"_row{i}" for i in range(len(taken) + 1))) if n not in taken)
     scan = _scan(rows)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

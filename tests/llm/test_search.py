@@ -158,6 +158,45 @@ def test_no_leak_within_the_edits_is_lost(spark):
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
 
 
+@pytest.mark.parametrize("kind", ["any", "third", "words"])
+def test_recall_of_edited_leaks(kind):
+    """Against full edit distances, at shares of edits up to MAX_EDITS."""
+    import pyarrow as pa
+
+    for n in (8, 15, 30, 60):
+        rows, docs = [], []
+        for j in range(60):
+            item = prose(n)
+            chars, allowed = list(item), int(R.choice([0.05, 0.1, 0.15]) * len(item))
+            if kind == "words":
+                words = item.split()
+                for i in R.sample(range(n), n):
+                    if len(words[i]) <= allowed:
+                        allowed -= len(words[i])
+                        words[i] = "#" * len(words[i])
+                chars = list(" ".join(words))
+            else:
+                for i in sorted(range(0, len(chars), max(1, len(chars) // max(1, allowed))) if kind == "third" else R.sample(range(len(chars)), allowed))[:allowed][::-1]:
+                    chars[i : i + 1] = R.choice(["", "#", chars[i] + "#"]) if kind == "any" else "#"
+            rows.append((j, item))
+            docs.append(prose(20) + " " + "".join(chars) + " " + prose(20))
+        found = list(decontaminate._scan(rows)(iter([pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(docs)], ["doc_id", "text"])])))
+        got = {(a, b) for x in found for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+        want = [j for j in range(60) if decontaminate.least_distance(rows[j][1], " ".join(docs[j].split())) <= int(decontaminate.MAX_EDITS * len(rows[j][1]))]
+        assert len(want) > 50 and sum((j, j) in got for j in want) >= 0.9 * len(want), (kind, n)
+
+
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    items = [(i, prose(20)) for i in range(12)]
+    rows = [(None, prose(30) + " " + items[3][1], "a"), (None, prose(30), "b"), (7, prose(9) + " " + items[8][1], "c"), (7, prose(40), "d"), (8, None, "e")]
+    docs, bench = spark.createDataFrame(rows, DOC + ", _row string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (20_000, 3):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+        left = decontaminate.without_leaks(docs, bench)
+        assert left.columns == docs.columns and sorted(r["_row"] for r in left.collect()) == ["b", "d", "e"]
+        assert sorted((r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()) == [3, 8]
+
+
 def test_closest():
     assert decontaminate.closest("abcdef", "xxabXdefyy") == (1, 2, 8)
     assert decontaminate.closest("abc", "zabcz") == (0, 1, 4)
