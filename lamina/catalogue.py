@@ -15,7 +15,7 @@ from lamina.operators import anchors, blocks, entropy, filededup, filters, looku
 from lamina.plans.archive import Archive
 from lamina.plans.workspace import new_folder
 from lamina.sources.scan import document_items, table
-from lamina.streaming.stream import file_stream, stream_copy
+from lamina.streaming.stream import file_stream, packet_stream, stream_copy, stream_restore
 
 B, L, CHUNK = 64, 512, 65536
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return document_items(docs) if not more else document_items(docs).join(docs.select("doc_id", *more), "doc_id")
+    return document_items(_docs(spark, d), *more)
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:
@@ -311,11 +310,7 @@ def entropy_nibble(spark, d):
 
 @query(f"WITH p AS (SELECT page_id, encode(html) AS b, octet_length(encode(html)) AS n FROM pages), w AS (SELECT page_id, n, i, regexp_replace(upper(hex(b[CAST(((n - 512) // 8) * i + 257 AS BIGINT):CAST(((n - 512) // 8) * i + 512 AS BIGINT)])), '(.).', '\\1', 'g') AS h FROM p, unnest(range(8)) AS t(i)), e AS (SELECT page_id, n, CASE WHEN n < 1024 THEN 0 ELSE {_NIB} END AS e FROM w) SELECT page_id, bool_or(n < 1024 OR e < 2.4) AS compressible FROM e GROUP BY 1")
 def entropy_sampled_policy(spark, d):
-    limit, entropy.LIMIT = entropy.LIMIT, 2.4  # text never reaches the library's limit; the rule is the same
-    try:
-        out = entropy.compressible(F.encode("html", "UTF-8"), 1024, 256)
-    finally:
-        entropy.LIMIT = limit
+    out = entropy.compressible(F.encode("html", "UTF-8"), 1024, 256, limit=2.4)  # text never reaches the library's limit
     return table(spark, d, "pages").select("page_id", out.alias("compressible"))
 
 
@@ -404,21 +399,75 @@ def anchor_positions(spark, d):
     return anchors.anchors(_items(spark, d), 256).select("doc_id", "block_no", "anchor")
 
 
-@query()
+def _word64(at: str) -> str:
+    """SQL of the little-endian 64-bit word at a place (0-based) of the bytes y."""
+    return "(" + " + ".join(f"CAST(y[({at}) + {i + 1}] AS HUGEINT) * {256**i}" for i in range(8)) + ")"
+
+
+_SUM = "(" + " + ".join(_word64(f"a + {p}") for p in (0, 39, 78, 109)) + f") % {2**64}"
+
+
+@query(f"WITH {DOCS}, {_ANCH}, t AS (SELECT {_SUM} AS s FROM byt JOIN hit USING (doc_id, block_no)), f AS (SELECT CAST((s % {2**32} + s // {2**32}) % {2**32} + 1 AS BIGINT) AS fingerprint FROM t) SELECT fingerprint, count(*) AS n FROM f GROUP BY 1")
 def anchor_fingerprint(spark, d):
     return anchors.anchors(_items(spark, d), 256).filter("anchor is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 
 
+A = 128
+_NEEDLES = f"bb AS (SELECT item_id, CAST(i AS INTEGER) AS block_no, encode(text)[CAST(i * {A} + 1 AS BIGINT):CAST(i * {A} + {A} AS BIGINT)] AS bytes FROM benchmark, unnest(range(octet_length(encode(text)) // {A})) AS t(i)), by_ AS (SELECT item_id, block_no, bytes, list_transform(range({A}), lambda j: CAST('0x' || substring(hex(bytes), 2 * j + 1, 2) AS BIGINT)) AS y FROM bb), sq AS (SELECT item_id, block_no, bytes, ((y[p + 1] + 256 * y[p + 2] + y[p + 32] + 256 * y[p + 33]) * (y[p + 1] + 256 * y[p + 2] + y[p + 32] + 256 * y[p + 33])) % 65536 AS q FROM by_, unnest(range(64)) AS t(p)), ok AS (SELECT DISTINCT item_id, block_no, bytes FROM sq WHERE q < 32768 AND q > 32511)"
+
+
+@query(f"WITH {DOCS}, {_NEEDLES}, pos AS (SELECT doc_id, p AS position, b[CAST(p + 1 AS BIGINT):CAST(p + {A} AS BIGINT)] AS bytes FROM docs, unnest(range(n - {A - 1})) AS t(p)) SELECT doc_id, position, item_id, block_no FROM pos JOIN ok USING (bytes)")
+def anchored_block_match(spark, d):
+    bench = table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("content"))
+    return anchors.anchored_matches(anchors.anchored_blocks(bench, A, ("item_id",)), _items(spark, d), A, "doc_id").select("doc_id", "position", "item_id", "block_no")
+
+
+@query(f"WITH {PAY}, blk AS (SELECT doc_id, CAST(i AS INTEGER) AS block_no, b[CAST(i * 256 + 1 AS BIGINT):CAST(i * 256 + 256 AS BIGINT)] AS x, payload + i * 256 AS off FROM pay, unnest(range(n // 256)) AS t(i)), byt AS (SELECT doc_id, block_no, list_transform(range(256), lambda j: CAST('0x' || substring(h, 2 * j + 1, 2) AS BIGINT)) AS y FROM (SELECT doc_id, block_no, hex(x) AS h FROM blk)), sq AS (SELECT doc_id, block_no, ((y[p + 1] + 256 * y[p + 2] + y[p + 96] + 256 * y[p + 97]) * (y[p + 1] + 256 * y[p + 2] + y[p + 96] + 256 * y[p + 97])) % 65536 AS q FROM byt, unnest(range(128)) AS t(p)), ok AS (SELECT DISTINCT doc_id, block_no FROM sq WHERE q < 32768 AND q > 32511), idx AS (SELECT x, CAST(min(off) AS BIGINT) AS ref FROM blk JOIN ok USING (doc_id, block_no) GROUP BY x), pos AS (SELECT doc_id, CAST(payload + p AS BIGINT) AS off, b[CAST(p + 1 AS BIGINT):CAST(p + 256 AS BIGINT)] AS x FROM pay, unnest(range(n - 255)) AS t(p)) SELECT doc_id AS chunk, off AS \"offset\", CAST(256 AS BIGINT) AS length, ref FROM pos JOIN idx USING (x) WHERE ref + 256 < (off // {CHUNK}) * {CHUNK}")
+def anchored_self_matches(spark, d):
+    return anchors.self_matches(_payload(spark, d).withColumnRenamed("doc_id", "chunk"), 256, CHUNK)
+
+
 @query()
 def anchor_dedup_cover(spark, d):
-    matches = blocks.match_runs(blocks.prior_matches(_blocks(spark, d), B, CHUNK), B).withColumnRenamed("doc_id", "chunk")
-    chunks = _payload(spark, d).select(F.col("doc_id").alias("chunk"), "payload", "size")
-    return anchors.cover_chunks(chunks, matches)
+    chunks = _payload(spark, d).withColumnRenamed("doc_id", "chunk")
+    return anchors.cover_chunks(chunks.select("chunk", "payload", "size"), anchors.self_matches(chunks, 256, CHUNK))
 
 
 # ---------------------------------------------------------------- streams
 
 
+@query(f"WITH {DOCS} SELECT path, n AS size, md5(b) AS hash FROM docs")
+def stream_archive_restore(spark, d):
+    """An archive written out as packets, and restored from them in one pass of a stream."""
+    folder = new_folder(spark, "packets")
+    packet_stream(_archive(spark, d), 1).write.parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    return stream_restore(file_stream(spark, folder, "*.parquet", schema, per_batch=4), spark).select("path", "size", F.md5("content").alias("hash"))
+
+
+@query("WITH d AS (SELECT DISTINCT source, lang FROM documents) SELECT 'file' AS type, count(*) AS n FROM documents UNION ALL SELECT 'dir', count(*) FROM d UNION ALL SELECT 'symlink', count(*) FROM d")
+def archive_item_types(spark, d):
+    """Files with their directories and a link beside each directory, through a backup."""
+    files = _items(spark, d, "source", "lang").withColumn("type", F.lit("file"))
+    dirs = files.select(F.concat_ws("/", "source", "lang").alias("path")).distinct().withColumn("type", F.lit("dir"))
+    links = dirs.select(F.concat(F.col("path"), F.lit(".link")).alias("path"), F.lit("symlink").alias("type"), F.col("path").alias("link"))
+    rows = files.select("path", "type", "size", "content").unionByName(dirs, allowMissingColumns=True).unionByName(links, allowMissingColumns=True)
+    rows = rows.withColumn("size", F.coalesce("size", F.lit(0))).withColumn("mtime", F.lit(datetime(2024, 1, 1)))
+    a = Archive(spark, new_folder(spark, "archive"), block=1024)
+    a.backup(rows, datetime(2024, 1, 1), ["documents"])
+    return a.contents(1).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DOCS}, u AS (SELECT DISTINCT md5(b[CAST(i * 1024 + 1 AS BIGINT):CAST(least(i * 1024 + 1024, n) AS BIGINT)]) AS hash, least(1024, n - i * 1024) AS len FROM docs, unnest(range((n + 1023) // 1024)) AS t(i)), c AS (SELECT CAST(CAST('0x' || substring(hash, 1, 2) AS BIGINT) AS INTEGER) AS chunk_id, CAST(sum(len) AS BIGINT) AS payload_length FROM u GROUP BY 1) SELECT chunk_id, payload_length, CAST(coalesce(sum(payload_length) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS payload FROM c")
+def archive_chunks(spark, d):
+    return _archive(spark, d).chunks().select("chunk_id", "payload_length", "payload")
+
+
+@query(f"WITH {DOCS}, u AS (SELECT DISTINCT md5(b[CAST(i * 1024 + 1 AS BIGINT):CAST(least(i * 1024 + 1024, n) AS BIGINT)]) AS hash, CAST(least(1024, n - i * 1024) AS INTEGER) AS length FROM docs, unnest(range((n + 1023) // 1024)) AS t(i)) SELECT hash, length, CAST(coalesce(sum(length) OVER (ORDER BY substring(hash, 1, 2), hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS payload FROM u")
+def archive_block_index(spark, d):
+    return _archive(spark, d).index().select("hash", "length", "payload")
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_restore_equivalence(spark, d):
     schema = table(spark, d, "events").schema

@@ -203,3 +203,88 @@ def thousands(n: Column, width: int = 0) -> Column:
 
 def date_text(t: Column) -> Column:
     return F.when(t.isNull() | (t == F.lit(0).cast("timestamp")), " " * 19).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+
+
+def lower(c: Column) -> Column:
+    """A-Z only."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def upper(c: Column) -> Column:
+    """a-z only."""
+    return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def repeat(c: Column, n: int, between: str = "") -> Column:
+    """The text n times, with a text between; empty if n is below 1."""
+    if n < 1:
+        return F.when(c.isNotNull(), F.lit(""))
+    return F.repeat(c, n) if not between else F.concat(F.repeat(F.concat(c, F.lit(between)), n - 1), c)
+
+
+def formatted(template: str, *values: Column) -> Column:
+    """printf: %d %s %x %5.2f and the like; %i is %d, %q quotes a text with its control characters escaped."""
+    out, i, n, used = [], 0, 0, []
+    while i < len(template):
+        if template[i] != "%":
+            out.append(template[i])
+            i += 1
+            continue
+        j = i + 1
+        while j < len(template) and template[j] in "-+ #0123456789.":
+            j += 1
+        if j >= len(template):
+            raise ValueError(f"{template!r} ends inside a conversion")
+        kind = template[j]
+        if kind == "%":
+            out.append("%%")
+        elif n >= len(values):
+            raise ValueError(f"{template!r} wants more values")
+        elif kind == "q":
+            text = values[n].cast("string")
+            for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\\n"), ("\r", "\\r"), ("\0", "\\0")):
+                text = F.replace(text, F.lit(a), F.lit(b))
+            used.append(F.concat(F.lit('"'), text, F.lit('"')))
+            out.append("%s")
+            n += 1
+        elif kind in "dixXocsfeEgG":
+            used.append(values[n].cast("long") if kind in "dixXo" else values[n].cast("double") if kind in "feEgG" else values[n].cast("string") if kind == "s" else F.char(values[n].cast("long")))
+            out.append(template[i:j] + {"i": "d", "c": "s"}.get(kind, kind))
+            n += 1
+        else:
+            raise ValueError(f"no conversion %{kind}")
+        i = j + 1
+    return F.format_string("".join(out), *used) if used else F.lit("".join(out).replace("%%", "%"))
+
+
+def matches(c: Column, pattern: str, init: int = 1) -> Column:
+    """array<string> of all captures of the first match from place init on, or the whole match; null if none."""
+    rest = c if init == 1 else sub(c, init)
+    regex = to_regex(pattern)
+    n = pattern.replace("%(", "").count("(")
+    groups = [F.regexp_extract(rest, regex, i) for i in (range(1, n + 1) if n else [0])]
+    return F.when(F.regexp_like(rest, F.lit(regex)), F.array(*groups))
+
+
+def find_span(c: Column, pattern: str, init: int = 1) -> Column:
+    """struct<start,end,captures> of the first match from place init on (1-based, end inclusive); null if none."""
+    rest = c if init == 1 else sub(c, init)
+    regex = to_regex(pattern)
+    shift = F.lit(0) if init in (0, 1) else F.lit(init - 1) if init > 1 else F.greatest(F.char_length(c) + init, F.lit(0))
+    start = F.char_length(F.split(rest, regex, 2)[0]) + shift + 1
+    end = start + F.char_length(F.regexp_extract(rest, regex, 0)) - 1
+    n = pattern.replace("%(", "").count("(")
+    captures = F.array(*[F.regexp_extract(rest, regex, i) for i in range(1, n + 1)]) if n else F.expr("cast(array() as array<string>)")
+    return F.when(F.regexp_like(rest, F.lit(regex)), F.struct(start.alias("start"), end.alias("end"), captures.alias("captures")))
+
+
+def gensub_spans(c: Column, n: int) -> Column:
+    """array<struct<piece,start,end>>: the n-character pieces with their byte spans (1-based, end inclusive)."""
+    each = pieces(c, n)
+    whole = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<piece:string,start:int,end:int>>)").alias("out"))
+
+    def step(acc, x):
+        end = acc["at"] + F.octet_length(x)
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x.alias("piece"), (acc["at"] + 1).alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(each, whole, step, lambda acc: acc["out"])

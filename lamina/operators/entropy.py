@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LIMIT = 3.92  # bits of a nibble; data at or above it in every sample is left as it is
 
 
-def _entropy(nibbles: Column) -> Column:
-    def bits(x: Column) -> Column:
-        n = F.length(x)
-        k = F.transform(F.array(*[F.lit(d) for d in "0123456789ABCDEF"]), lambda d: n - F.length(F.replace(x, d, F.lit(""))))
-        return F.aggregate(k, F.lit(0.0), lambda acc, c: acc + F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0))
-
-    return F.transform(F.array(nibbles), bits)[0]  # a lambda's argument is computed once, however often it is named
+def _bits(content: bytes) -> float:
+    counts = np.bincount(np.frombuffer(content, np.uint8) >> 4, minlength=16)
+    p = counts[counts > 0] / max(1, len(content))
+    return float(-(p * np.log2(p)).sum()) if len(content) else 0.0
 
 
 def nibble_entropy(content: Column) -> Column:
-    """Shannon entropy in bits of the high nibbles of the bytes; 0 for no bytes."""
-    return _entropy(F.regexp_replace(F.hex(content), "(.).", "$1"))
-
-
-def compressible(content: Column, least: int = 131072, window: int = 1024, samples: int = 8) -> Column:
-    """True below `least` bytes, or if any of the samples spread over the content has an entropy under LIMIT."""
-    n = F.octet_length(content)
-    step = F.floor((n - 2 * window) / samples).cast("int")
-    out = n < least
-    for i in range(samples):
-        out = out | (nibble_entropy(F.substring(content, step * i + window + 1, F.lit(window))) < LIMIT)
-    return out
+    """Shannon entropy in bits of the high nibbles of the bytes; 0 for no bytes. One count over the bytes of an Arrow batch."""
+
+    @F.pandas_udf("double")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else _bits(c) for c in rows], dtype="float64")
+
+    return F.when(content.isNotNull(), run(content))
+
+
+def compressible(content: Column, least: int = 131072, window: int = 1024, samples: int = 8, limit: float = LIMIT) -> Column:
+    """True below `least` bytes, or if any of the samples spread over the content has an entropy under the limit."""
+
+    @F.pandas_udf("boolean")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else sampled_compressible(c, least, window, samples, limit) for c in rows], dtype=object)
+
+    return run(content)
+
+
+def sampled_compressible(content: bytes, least: int = 131072, window: int = 1024, samples: int = 8, limit: float = LIMIT) -> bool:
+    if len(content) < least:
+        return True
+    step = (len(content) - 2 * window) // samples
+    return any(_bits(content[step * i + window : step * i + 2 * window]) < limit for i in range(samples))
