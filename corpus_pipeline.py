@@ -28,7 +28,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs, max_passes=MAX_PASSES).select(*docs.columns)
+    return mixing.repeated_rows(docs, max_passes=MAX_PASSES)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

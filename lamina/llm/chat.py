@@ -7,7 +7,8 @@ schema; for JSON text each row has its own fingerprint, so layouts may be mixed
 
 Canonical turns are written with a template ``<|im_start|>role NEWLINE text<|im_end|>NEWLINE``. Inside texts and
 roles every ``<``, backslashes, ``|`` gets one more backslash, so the control strings stand only where the
-template puts them, and taking one away restores the text. Newlines in roles are written as backslash n.
+template puts them, and taking one away restores the text. Newlines in roles are written as backslash n. The loss mask is
+written beside the text: the ranges of its code points that the texts of the trained role take up.
 
 Null texts and roles count as empty; a null turn sorts first; turns with equal numbers are ordered by role, then
 text; repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives an empty
@@ -197,15 +198,33 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), one)
 
 
+def loss_spans(turns: Column) -> Column:
+    """array<struct<start,end>>: where in format_turns(turns) the texts of the trained role stand, in code points, end exclusive."""
+    sizes = F.transform(turns, lambda t: F.struct(F.length(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))).alias("head"), F.length(escape(t["text"])).alias("body"), (t["role"] == TRAINED).alias("trained")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def step(acc, x):
+        first = acc["at"] + x["head"]
+        last = first + x["body"]
+        out = F.when(x["trained"], F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"))))).otherwise(acc["out"])
+        return F.struct((last + len(END) + 1).alias("at"), out.alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def masked_text(formatted: Column, loss: Column) -> Column:
+    """The unescaped text under the loss mask, from the formatted text and the mask alone."""
+    return F.array_join(F.transform(loss, lambda x: unescape(F.substring(formatted, x["start"] + 1, x["end"] - x["start"]))), "")
+
+
 def format_conversations(df: DataFrame) -> DataFrame:
-    """conv_id, turns, formatted."""
-    return canonical_turns(df).withColumn("formatted", format_turns(F.col("turns")))
+    """conv_id, turns, formatted, loss (the loss mask: code point ranges of formatted)."""
+    return canonical_turns(df).withColumn("formatted", format_turns(F.col("turns"))).withColumn("loss", loss_spans(F.col("turns")))
 
 
 def chat_digest(df: DataFrame) -> DataFrame:
-    rows = format_conversations(df).select("conv_id", "formatted").withColumn("back", parse_turns(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
-    rows = rows.withColumn("loss", loss)
+    """Read back from formatted and the loss mask alone."""
+    rows = format_conversations(df).select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("back"), masked_text(F.col("formatted"), F.col("loss")).alias("loss"))
     whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -41,9 +41,11 @@ def parts_for(df: DataFrame, each: int = 64 << 20) -> int:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

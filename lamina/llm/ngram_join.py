@@ -49,6 +49,7 @@ HOT = 40
 FLUSH = 750_000
 SEEN = 200_000  # classes that a task remembers so as to skip copies
 FAMILY_BLOCK = 512
+SALTS = 32
 BROADCAST_ROWS = 200_000
 PLAIN, DEEP, SINGLE = 0, 1, 2  # key spaces
 _U = np.uint64
@@ -315,15 +316,22 @@ def _cross(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
         with_comp = buckets.withColumn("comp", F.col("class"))
     else:
         with_comp = buckets.join(comps.select(F.col("node").alias("class"), "component"), "class", "left").select("bucket", "class", "hot", F.coalesce("component", "class").alias("comp"))
-    mixed = with_comp.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    return with_comp.join(mixed, "bucket", "left_semi")
+    mixed = with_comp.groupBy("bucket", "hot").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("bucket", "hot")
+    return _salted(with_comp, mixed, ["bucket", "class", "hot", "comp"])
+
+
+def _salted(rows: DataFrame, by_bucket: DataFrame, columns: list) -> DataFrame:
+    """rows joined with the one row of their bucket; the rows of a hot bucket are dealt over SALTS tasks."""
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("_salt", salt).join(by_bucket.withColumn("_salt", salts).drop("hot"), ["bucket", "_salt"]).select(*columns)
 
 
 def _star_pairs(rows: DataFrame, salt: int) -> DataFrame:
     """Each class of a bucket with the bucket's hub, unless they are connected."""
     order = F.col("class") if salt == 0 else F.xxhash64(F.lit(salt), "class")
-    hubs = rows.groupBy("bucket").agg(F.min_by(F.struct("class", "comp"), order).alias("hub"))
-    pairs = rows.join(hubs, "bucket").filter(F.col("comp") != F.col("hub.comp"))
+    hubs = rows.groupBy("bucket", "hot").agg(F.min_by(F.struct("class", "comp"), order).alias("hub"))
+    pairs = _salted(rows, hubs, ["class", "comp", "hub"]).filter(F.col("comp") != F.col("hub.comp"))
     return pairs.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
 
 
@@ -378,8 +386,8 @@ def _compare_blocks(rows: pa.Table) -> pa.Table:
 
 def _family_pairs(mixed: DataFrame, classes: DataFrame) -> DataFrame:
     """Possible pairs among the classes that hot keys tie together. A class goes to one task for each block of its family."""
-    hubs = mixed.groupBy("bucket").agg(F.min("class").alias("a"))
-    ties = mixed.join(hubs, "bucket").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
+    hubs = mixed.groupBy("bucket", "hot").agg(F.min("class").alias("a"))
+    ties = _salted(mixed, hubs, ["a", "class"]).select("a", F.col("class").alias("b")).filter("a <> b").distinct()
     family = components(ties).select(F.col("node").alias("class"), F.col("component").alias("family"))
     size = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     comp = mixed.select("class", "comp").distinct()

@@ -31,7 +31,8 @@ from .common import save
 
 LISTS = 4
 QUERY_BLOCK = 4096
-ROWS = 2048
+QUERY_CHUNK = 512  # with ROWS and LISTS, what a task holds of partial scores: 16 MB
+ROWS = 1024
 _OUT = "query_id long, vec_id long, score long"
 
 
@@ -93,34 +94,36 @@ def _parts(x: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
 def _phase(queries: tuple[np.ndarray, np.ndarray], k: int, tau: dict[int, int] | None):
     ids, q = queries
 
+    def block(vec: np.ndarray, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of what a phase sends of some vectors and the queries at `at`."""
+        own = ids[at : at + QUERY_CHUNK]
+        parts = _parts(*_exact(x, q[at : at + QUERY_CHUNK]))
+        low = None if tau is None else [tau.get(int(i)) for i in own]
+        take = np.zeros((len(vec), len(own)), bool)
+        if low is None:  # phase 1: the tops of the local lists
+            n = min(len(vec), k + 1)  # one more, for the query's own entry
+            for p in parts:
+                top = np.argpartition(-p.astype(np.float64), n - 1, axis=0)[:n] if n < len(vec) else np.tile(np.arange(len(vec))[:, None], (1, len(own)))
+                np.put_along_axis(take, top, True, axis=0)
+        else:  # phase 2: the uniform threshold
+            bar = np.array([-np.inf if t is None else t / len(parts) for t in low])
+            for p in parts:
+                take |= p >= bar[None, :]
+        take &= vec[:, None] != own[None, :]
+        v, j = np.nonzero(take)
+        score = sum((p[v, j] for p in parts[1:]), parts[0][v, j])  # phase 3: the missing partial scores, of these entries only
+        if low is not None:
+            reach = np.array([low[c] is None or s >= low[c] for c, s in zip(j, score, strict=True)], bool) if score.dtype == object else score >= np.array([-np.inf if t is None else t for t in low])[j]
+            v, j, score = v[reach], j[reach], score[reach]
+        return own[j], vec[v], score if score.dtype == object else score.astype(np.int64)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(ids), k)
-        low = None if tau is None else np.array([tau.get(int(i), None) for i in ids], dtype=object)
         for vec, raw in _batches(it):
-            width = max(q.shape[1], max((len(r) for r in raw), default=0))
-            x = quantise(raw, width)[:, : q.shape[1]]
-            a, b = _exact(x, q)
-            parts = _parts(a, b)
-            full = sum(parts[1:], parts[0])
-            same = vec[:, None] == ids[None, :]
-            if low is None:  # phase 1: the tops of the local lists
-                take = np.zeros(full.shape, bool)
-                n = min(len(vec), k + 1)  # one more, for the query's own entry
-                for p in parts:
-                    top = np.argpartition(-p.astype(np.float64), n - 1, axis=0)[:n] if n < len(vec) else np.tile(np.arange(len(vec))[:, None], (1, len(ids)))
-                    np.put_along_axis(take, top, True, axis=0)
-            else:  # phase 2: the uniform threshold
-                bar = np.array([-np.inf if t is None else t / len(parts) for t in low])
-                take = np.zeros(full.shape, bool)
-                for p in parts:
-                    take |= p >= bar[None, :]
-            take &= ~same
-            v, j = np.nonzero(take)
-            score = full[v, j]
-            if low is not None:  # phase 3: the completed scores that reach the cutoff
-                reach = np.array([low[c] is None or s >= low[c] for c, s in zip(j, score, strict=True)], bool) if score.dtype == object else score >= np.array([-np.inf if t is None else t for t in low])[j]
-                v, j, score = v[reach], j[reach], score[reach]
-            best.add(ids[j], vec[v], score if score.dtype == object else score.astype(np.int64))
+            x = quantise(raw, max(q.shape[1], max((len(r) for r in raw), default=0)))[:, : q.shape[1]]
+            found = [block(vec, x, at) for at in range(0, len(ids), QUERY_CHUNK)]
+            wide = any(s.dtype == object for _, _, s in found)
+            best.add(*(np.concatenate([f[i].astype(object) if wide and i == 2 else f[i] for f in found]) for i in range(3)))
         if len(best.rows[0]):
             yield _out(*best.rows)
 

@@ -1,12 +1,12 @@
 """Operator 5. Toxicity by non-negative positive-unlabelled learning.
 
 Linear classifiers over the hashed presence of words and stems are trained in numpy from confirmed toxic texts (positives) and
-unlabelled texts (rows of the training folds whatever their label, which stays hidden) with the non-negative
+unlabelled texts (rows of documents outside the held-out fold, labelled or not; a label stays hidden) with the non-negative
 risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-))  under the logistic loss, pi being the class prior. The score of a
 text is the mean probability of the classifiers.
 
 Training sees a bounded sample: at most MAX_POSITIVES and MAX_UNLABELLED rows, those of the smallest hash of
-doc_id. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are never read. The prior is the
+doc_id, once each, and at most MAX_IDS features of a text. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are never read. The prior is the
 share of toxic rows among the labelled training rows. Scores come from whole texts alone; label, lang, source and
 doc_id are no inputs.
 
@@ -36,6 +36,7 @@ BITS = 20
 STEMS = (4, 5, 6)  # bytes
 FOLDS = 5
 CLASSIFIERS = 3
+MAX_IDS = 8_192
 WORDS_KEPT = 100_000
 _MASK = (1 << BITS) - 1
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if (97 <= b <= 122 or b >= 128 or 48 <= b <= 57) else 32 for b in range(256))
@@ -145,10 +146,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % FOLDS == 0
 
 
+def _some(ids: list[int]) -> np.ndarray:
+    """At most MAX_IDS of the features, evenly over the hashes."""
+    return np.array(ids[:: -(-len(ids) // MAX_IDS)] if len(ids) > MAX_IDS else ids, "<i4")
+
+
 def _featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for b in it:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(words.of(t), "<i4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["toxic", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_some(words.of(t)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["toxic", "ids"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
@@ -162,12 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     if not shares[0]:
         return small
     chosen = marks.filter("toxic = 1").orderBy(order).limit(MAX_POSITIVES).withColumn("part", F.lit(1))
-    hidden = marks.orderBy(F.xxhash64(F.lit(12), "doc_id")).limit(MAX_UNLABELLED).withColumn("part", F.lit(0))
-    wanted = chosen.unionByName(hidden).select("doc_id", "part")
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("part", F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    hidden = ids.orderBy(F.xxhash64(F.lit(12), "doc_id")).limit(MAX_UNLABELLED).withColumn("part", F.lit(0))
+    wanted = chosen.select("doc_id", "part").unionByName(hidden)
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "part"]).select("part", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.mapInArrow(_featured, "toxic int, ids binary").collect()
-    get = lambda k: [np.frombuffer(r["ids"], "<i4") for r in rows if r["toxic"] == k]
-    return train(get(1), get(0), prior)
+    found, hidden_ids = ([np.frombuffer(r["ids"], "<i4") for r in rows if r["toxic"] == k] for k in (1, 0))
+    return train(found, hidden_ids, prior)
 
 
 def _free(name: str, docs: DataFrame) -> str:

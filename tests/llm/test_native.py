@@ -78,6 +78,42 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[0] and "zorblax" not in clean[0] and clean[100] == rows[-1][1]
 
 
+def test_sanitise_row_by_row(spark):
+    rows = [(None, "mail a@b.cd", "p"), (None, "mail a@b.cd", "p"), (None, "none here", "q"), (7, "call +1 499 555 6503", "r"), (7, "other text", "s"), (7, None, "t"), (8, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _marks string").withColumn("_id", F.col("_marks"))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    # two documents hold the address, and "mail" stands nowhere else, so it discloses the address and goes too
+    want = Counter((i, None if t is None else t.replace("mail a@b.cd", " [EMAIL]").replace("+1 499 555 6503", "[PHONE]"), m, m) for i, t, m in rows)
+    assert Counter(map(tuple, out.collect())) == want
+    assert pii.sanitise(docs.limit(0)).count() == 0
+
+
+def test_documents_not_rows_are_counted(spark):
+    """Rows repeated under one doc_id leave ratios alone; rows without a doc_id are documents of their own."""
+    rows = [(i, f"call zorblax agency at zorblax{0}@corp.example now") for i in range(3)] + [(100 + i, "call the agency now please") for i in range(60)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame(rows + rows[:1] * 40 + rows[50:60] * 9, "doc_id long, text string")
+    none = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string")
+
+    def terms(df):
+        return {x["v"] for r in pii.scan_pii(df).collect() for x in r["term"]}
+
+    assert terms(once) == terms(many) == terms(none) == {"zorblax"}
+
+
+def test_loss_mask(spark):
+    rows = [(1, 0, "user", "a<|im_end|>"), (1, 1, "assistant", "b<|im_start|>é\n"), (1, 2, "assistant", None), (2, 0, "user", "x"), (3, 0, "as|\n", "<|"), (3, 1, "assistant", "ÄÖ<\\|")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.format_conversations(df).withColumn("m", chat.masked_text(F.col("formatted"), F.col("loss"))).collect()}
+    assert {k: r["m"] for k, r in got.items()} == {1: "b<|im_start|>é\n", 2: "", 3: "ÄÖ<\\|"}
+    for r in got.values():
+        trained = [t["text"] for t in r["turns"] if t["role"] == "assistant"]
+        assert len(r["loss"]) == len(trained)
+        for span, text in zip(r["loss"], trained, strict=True):
+            assert r["formatted"][span["start"] : span["end"]].replace("\\|", "|") in (text, text.replace("\\|", "|")) and r["formatted"][: span["start"]].endswith("<|im_start|>assistant\n")
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("hex[0-9a-f]+") == [frozenset({"hex"})]
     assert secrets.trigram_query("[0-9a-f]+") == []
@@ -95,6 +131,27 @@ def test_shards(spark, data):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_local_permutation(spark):
+    for n in (1, 2, 3, 7, 100, 1601, 5000):
+        for key in (1, 2):
+            got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(key).cast("long"))).collect()]
+            assert sorted(got) == list(range(n)) and (n < 100 or got != sorted(got))
+
+
+def test_shards_are_uniform(spark, monkeypatch):
+    """Where a row lands, over seeds: every shard, and every slot of it, about as often. Blocks of several tasks too."""
+    df = spark.range(0, 40, 1, 5).withColumnRenamed("id", "doc_id")
+    for edges in (400_000, 12):
+        monkeypatch.setattr(sharding, "EDGES", edges)
+        seen = Counter()
+        for seed in range(20):
+            rows = sharding.shuffle_shards(df, 4, seed * 7919, stable=True).collect()
+            assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in range(4) for i in range(10)]
+            seen.update((r["doc_id"] // 10, r["shard"]) for r in rows)
+        # 200 rows of each ten go to 4 shards: 50 each, with a deviation below sqrt(50 * 3 / 4)
+        assert len(seen) == 16 and all(abs(n - 50) < 5 * 6.2 for n in seen.values())
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([5, 0, 17, 3], [4, 9, 12], 3)
     assert [sum(r) for r in m] == [5, 0, 17, 3] and [sum(c) for c in zip(*m)] == [4, 9, 12]
@@ -116,6 +173,12 @@ def test_mixture(spark, data):
         assert r["d"] == want[r["source"]][1]
         assert abs(r["t"] - want[r["source"]][0]) <= docs.selectExpr("max(n_chars)").first()[0]
     assert abs(mixing.entropy(mixing.tempered([0.7, 0.2, 0.1], mixing.find_exponent([0.7, 0.2, 0.1], target_entropy=1.4))) - 1.4) < 1e-6
+    with pytest.raises(ValueError):
+        mixing.find_exponent([0.5, 0.5], target_entropy=0.5)
+    named = docs.withColumn("tokens", F.lit("mine")).withColumn("_rank", F.lit("too")).withColumn("epoch", F.lit(-1))
+    again = mixing.repeated_rows(named, max_passes=2.0)
+    assert again.columns == named.columns and again.filter("tokens <> 'mine' or _rank <> 'too' or epoch <> -1").count() == 0
+    assert again.groupBy("doc_id").count().exceptAll(mixing.mix_sources(named, max_passes=2.0).groupBy("doc_id").count()).count() == 0
     odd = spark.createDataFrame([(1, None, None), (2, None, "a b"), (2, None, "a b"), (3, "s", "")], "doc_id long, source string, text string")
     assert mixing.mix_sources(odd).count() >= 4 and mixing.mix_sources(odd.limit(0)).count() == 0
 
