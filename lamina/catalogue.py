@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import paths as P
 from lamina.functions import text as X
+from lamina.functions import wordlz
 from lamina.operators import anchors, blocks, entropy, filededup, filters, lookups, snapshots
 from lamina.plans.archive import Archive
 from lamina.plans.workspace import new_folder
@@ -48,11 +49,11 @@ def _items(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.payload_offsets(document_items(_docs(spark, d)), "doc_id")
+    return blocks.payload_offsets(_items(spark, d).drop("content"), "doc_id")
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.blocks(_payload(spark, d), B)
+    return blocks.blocks(_items(spark, d), B, offsets=_payload(spark, d))
 
 
 # ---------------------------------------------------------------- scans and filters
@@ -325,6 +326,12 @@ def zero_runs(spark, d):
     return blocks.zero_runs(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
 
 
+@query(f"WITH {DOCS}, w AS (SELECT doc_id, i, list_transform(range(8), lambda j: CAST('0x' || substring(hex(b[CAST(i * 8 + 1 AS BIGINT):CAST(i * 8 + 8 AS BIGINT)]), 2 * j + 1, 2) AS HUGEINT) * CAST(256 ** j AS HUGEINT)) AS y FROM docs, unnest(range(n // 8)) AS t(i)), v AS (SELECT doc_id, i, CAST(y[1] + y[2] + y[3] + y[4] + y[5] + y[6] + y[7] + y[8] AS HUGEINT) AS w FROM w), h AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id, ((w * {wordlz.MULTIPLIER}) % {2**64}) // {2**48} ORDER BY i) AS before FROM v), c AS (SELECT doc_id, count(*) AS words, count(*) FILTER (before = w) AS hits FROM h GROUP BY 1) SELECT docs.doc_id AS doc_id, coalesce(words, 0) AS words, coalesce(hits, 0) AS hits FROM docs LEFT JOIN c ON c.doc_id = docs.doc_id")
+def word_lz_hits(spark, d):
+    """Words that the word codec writes as the hash of the last one like it."""
+    return _items(spark, d).select("doc_id", wordlz.hit_counts(F.col("content")).alias("c")).select("doc_id", "c.words", "c.hits")
+
+
 # ---------------------------------------------------------------- lookups
 
 
@@ -424,13 +431,18 @@ def anchored_block_match(spark, d):
 
 @query(f"WITH {PAY}, blk AS (SELECT doc_id, CAST(i AS INTEGER) AS block_no, b[CAST(i * 256 + 1 AS BIGINT):CAST(i * 256 + 256 AS BIGINT)] AS x, payload + i * 256 AS off FROM pay, unnest(range(n // 256)) AS t(i)), byt AS (SELECT doc_id, block_no, list_transform(range(256), lambda j: CAST('0x' || substring(h, 2 * j + 1, 2) AS BIGINT)) AS y FROM (SELECT doc_id, block_no, hex(x) AS h FROM blk)), sq AS (SELECT doc_id, block_no, ((y[p + 1] + 256 * y[p + 2] + y[p + 96] + 256 * y[p + 97]) * (y[p + 1] + 256 * y[p + 2] + y[p + 96] + 256 * y[p + 97])) % 65536 AS q FROM byt, unnest(range(128)) AS t(p)), ok AS (SELECT DISTINCT doc_id, block_no FROM sq WHERE q < 32768 AND q > 32511), idx AS (SELECT x, CAST(min(off) AS BIGINT) AS ref FROM blk JOIN ok USING (doc_id, block_no) GROUP BY x), pos AS (SELECT doc_id, CAST(payload + p AS BIGINT) AS off, b[CAST(p + 1 AS BIGINT):CAST(p + 256 AS BIGINT)] AS x FROM pay, unnest(range(n - 255)) AS t(p)) SELECT doc_id AS chunk, off AS \"offset\", CAST(256 AS BIGINT) AS length, ref FROM pos JOIN idx USING (x) WHERE ref + 256 < (off // {CHUNK}) * {CHUNK}")
 def anchored_self_matches(spark, d):
-    return anchors.self_matches(_payload(spark, d).withColumnRenamed("doc_id", "chunk"), 256, CHUNK)
+    return anchors.self_matches(*_chunks(spark, d), 256, CHUNK)
 
 
 @query()
 def anchor_dedup_cover(spark, d):
-    chunks = _payload(spark, d).withColumnRenamed("doc_id", "chunk")
-    return anchors.cover_chunks(chunks.select("chunk", "payload", "size"), anchors.self_matches(chunks, 256, CHUNK))
+    contents, offsets = _chunks(spark, d)
+    return anchors.cover_chunks(offsets, anchors.self_matches(contents, offsets, 256, CHUNK))
+
+
+def _chunks(spark, d):
+    items = _items(spark, d).withColumnRenamed("doc_id", "chunk")
+    return items.select("chunk", "content"), _payload(spark, d).select(F.col("doc_id").alias("chunk"), "payload", "size")
 
 
 # ---------------------------------------------------------------- streams

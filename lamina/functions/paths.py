@@ -46,3 +46,25 @@ def common_parent(df: DataFrame, path: str) -> DataFrame:
     pa, pb = F.slice(F.split("a", "/"), 1, F.size(F.split("a", "/")) - 1), F.slice(F.split("b", "/"), 1, F.size(F.split("b", "/")) - 1)
     same = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.size(pa), F.size(pb)), F.lit(1))), lambda n: F.slice(pa, F.lit(1), n) == F.slice(pb, F.lit(1), n))
     return ends.select(F.array_join(F.slice(pa, F.lit(1), F.when((F.size(pa) > 0) & (F.size(pb) > 0), F.coalesce(F.array_max(same), F.lit(0))).otherwise(0)), "/").alias("parent"))
+
+
+def absolute(path: Column, base: str) -> Column:
+    """The tidied path, below base if it is relative."""
+    p = tidy(path)
+    return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p))
+
+
+def same(a: Column, b: Column, base: str = "") -> Column:
+    """Whether two paths name one place, by their tidied text."""
+    return absolute(a, base) == absolute(b, base)
+
+
+def without_delimiter(path: Column, where: str = "both") -> Column:
+    """Without delimiters at the start, the end, or both."""
+    out = F.regexp_replace(path, r"^[/\\]+", "") if where in ("start", "both") else path
+    return F.regexp_replace(out, r"[/\\]+$", "") if where in ("end", "both") else out
+
+
+def identity_case(path: Column, sensitive: bool = True) -> Column:
+    """The path as file systems compare it."""
+    return path if sensitive else F.lower(path)

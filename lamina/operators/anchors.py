@@ -156,17 +156,18 @@ def anchored_matches(index: DataFrame, hay: DataFrame, block: int, key: str) ->
     return both.select(key, (F.col("place") - F.col("anchor")).alias("position"), *rest).distinct()
 
 
-def self_matches(chunks: DataFrame, block: int, chunk: int) -> DataFrame:
+def self_matches(contents: DataFrame, offsets: DataFrame, block: int, chunk: int) -> DataFrame:
     """chunk, offset, length, ref: repeats, at any byte position, of an aligned block that lies wholly before the chunk.
 
-    chunks: chunk, payload, content, and key columns of their own; offsets count in the payload space. Of equal blocks
-    the first stands for all, so a block that repeats without end costs one row of the index.
+    contents: chunk, content; offsets: chunk, payload. Offsets count in the payload space. Of equal blocks the first
+    stands for all, so a block that repeats without end costs one row of the index. Contents stay where they are read.
     """
-    rows = anchored_blocks(chunks, block, ("chunk", "payload"))
+    offsets = offsets.select("chunk", "payload")
+    rows = anchored_blocks(contents, block, ("chunk",)).join(offsets, "chunk")
     offset = F.col("payload") + F.col("block_no").cast("long") * block
     index = rows.groupBy("hash", "fingerprint").agg(F.min(offset).alias("ref"), F.min_by("anchor", offset).alias("anchor"))
-    found = anchored_matches(index.select("fingerprint", "anchor", "hash", "ref"), chunks, block, "chunk")
-    found = found.join(chunks.select("chunk", "payload"), "chunk").withColumn("offset", F.col("payload") + F.col("position"))
+    found = anchored_matches(index.select("fingerprint", "anchor", "hash", "ref"), contents, block, "chunk")
+    found = found.join(offsets, "chunk").withColumn("offset", F.col("payload") + F.col("position"))
     start = F.floor(F.col("offset") / chunk) * chunk
     return found.filter(F.col("ref") + block < start).select("chunk", "offset", F.lit(block).cast("long").alias("length"), "ref")
 

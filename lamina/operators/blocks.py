@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lamina.plans.workspace import save
+
 SMALL, LARGE, CHUNK = 4096, 131072, 1 << 20
 
 
@@ -38,11 +40,19 @@ def chunk_assignment(items: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return items.withColumns({"first_chunk": first, "last_chunk": last, "straddles": first != last})
 
 
-def blocks(items: DataFrame, block: int = SMALL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The full aligned blocks of each item: keep, block_no, offset (payload + place), hash."""
+def blocks(items: DataFrame, block: int = SMALL, keep: tuple[str, ...] = ("doc_id",), offsets: DataFrame | None = None) -> DataFrame:
+    """The full aligned blocks of each item: keep, block_no, offset (payload + place), hash.
+
+    offsets: the payload of each item by the first of keep, where items do not carry it. Contents are cut and hashed where
+    they are read; only hashes move.
+    """
     n = F.floor(F.col("size") / block).cast("int")
-    rows = items.filter(F.col("size") >= block).select(*keep, "payload", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block_no"))
-    return rows.select(*keep, "block_no", (F.col("payload") + F.col("block_no").cast("long") * block).alias("offset"), F.md5(F.substring(F.col("content"), F.col("block_no") * block + 1, F.lit(block))).alias("hash"))
+    own = ["payload"] if offsets is None else []
+    rows = items.filter(F.col("size") >= block).select(*keep, *own, "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("block_no"))
+    rows = rows.select(*keep, *own, "block_no", F.md5(F.substring(F.col("content"), F.col("block_no") * block + 1, F.lit(block))).alias("hash"))
+    if offsets is not None:
+        rows = rows.join(offsets.select(keep[0], "payload"), keep[0])
+    return rows.select(*keep, "block_no", (F.col("payload") + F.col("block_no").cast("long") * block).alias("offset"), "hash")
 
 
 def block_index(rows: DataFrame) -> DataFrame:
@@ -66,6 +76,7 @@ def large_blocks(rows: DataFrame, fan: int, keep: tuple[str, ...] = ("doc_id",))
 
 def prior_matches(rows: DataFrame, block: int, chunk: int = CHUNK) -> DataFrame:
     """rows whose block stands earlier, wholly before the row's own chunk: with ref, its least offset."""
+    rows = save(rows, "blocks")  # cut and hashed once
     index = block_index(rows).filter("n > 1").select("hash", F.col("min_offset").alias("ref"))
     start = chunk_of(F.col("offset"), chunk) * chunk
     return rows.join(index, "hash").filter(F.col("ref") + block < start)

@@ -54,17 +54,37 @@ def predicate_columns(items: DataFrame, size: str = "size", time: str | None = N
     return out
 
 
-def where(items: DataFrame, predicate: str | Column | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Rows for which a predicate holds: SQL text, a column, or a function of a batch of rows. A null is no."""
+def where(items: DataFrame, predicate: str | Column | Callable[[pd.DataFrame], pd.Series], on_error: str = "fail") -> DataFrame:
+    """Rows for which a predicate holds: SQL text, a column, or a function of a batch of rows. A null is no.
+
+    on_error, for functions: "fail" ends the job with the function's own error; "drop" and "keep" leave out or keep just
+    the rows on which it fails (a batch that fails is asked row by row).
+    """
+    if on_error not in ("fail", "drop", "keep"):
+        raise ValueError(f"on_error is fail, drop or keep, not {on_error!r}")
     if isinstance(predicate, str):
         predicate = F.expr(predicate)
     if isinstance(predicate, Column):
         return items.filter(F.coalesce(predicate, F.lit(False)))
     columns = items.columns
 
+    def asked(rows: pd.DataFrame) -> pd.Series:
+        return predicate(rows).fillna(False).astype(bool)
+
     @F.pandas_udf("boolean")
     def test(rows: pd.DataFrame) -> pd.Series:
-        return predicate(rows).fillna(False).astype(bool)
+        try:
+            return asked(rows)
+        except Exception:
+            if on_error == "fail":
+                raise
+            out = []
+            for i in range(len(rows)):
+                try:
+                    out.append(bool(asked(rows.iloc[i : i + 1]).iloc[0]))
+                except Exception:
+                    out.append(on_error == "keep")
+            return pd.Series(out, dtype=bool)
 
     return items.filter(test(F.struct(*columns)))
 

@@ -7,7 +7,7 @@ a rename, so a job that dies leaves nothing visible behind. The manifest holds a
 
 Blocks are cut at multiples of the block size, or (cut="content") where the bytes themselves say so: then bytes put in
 front of a file move no cut but the first, and the rest is found again. A packet is stored as its level says: 0 as it
-is, 1 LZ4, 2 to 4 zstd at 1, 10 and 19, and as it is wherever that is no smaller or the file's name or samples of its
+is, 1 by the word codec, 2 to 4 zstd at 1, 10 and 19, and as it is wherever that is no smaller or the file's name or samples of its
 bytes say that it does not compress.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.functions import wordlz
 from lamina.operators.entropy import sampled_compressible
 from lamina.operators.filters import HIGH_ENTROPY, select_paths
 from lamina.plans.options import ChecksumError
@@ -39,7 +40,7 @@ PACKETS = "set_no int, hash string, codec string, bytes binary, length int, stor
 INDEX = "set_no int, hash string, payload long, length int, chunk_id int"
 CHUNKS = "set_no int, chunk_id int, payload long, payload_length long, compressed_length long"
 SNAPSHOTS = "set_no int, date timestamp, files long, bytes long, added_files long, unchanged_files long, duplicate_files long, added_bytes long, stored_bytes long, sources array<string>, dirs long, links long, hard_links long, raw_files long, raw_bytes long, compressed_bytes long"
-CODECS = {0: ("raw", None), 1: ("lz4", None), 2: ("zstd", 1), 3: ("zstd", 10), 4: ("zstd", 19)}
+CODECS = {0: ("raw", None), 1: ("words", None), 2: ("zstd", 1), 3: ("zstd", 10), 4: ("zstd", 19)}
 BUCKETS = 256
 _SAMPLED = 131072  # contents from here on are sampled for entropy
 
@@ -91,11 +92,11 @@ def _pack(level: int):
     name, strength = CODECS[level]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None if name == "raw" else pa.Codec(name, compression_level=strength) if strength else pa.Codec(name)
+        press = wordlz.compress if name == "words" else None if name == "raw" else (lambda x, c=pa.Codec(name, compression_level=strength): c.compress(x, asbytes=True))
         for b in it:
             out = []
             for data, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                small = None if codec is None or raw or not data else codec.compress(data, asbytes=True)
+                small = None if press is None or raw or not data else press(data)
                 out.append(("raw", data) if small is None or len(small) >= len(data) else (name, small))
             cols = [pa.array([c for c, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary()), pa.array([len(x) for x in b.column(1).to_pylist()], pa.int32()), pa.array([len(x) for _, x in out], pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["hash", "codec", "bytes", "length", "stored"])
@@ -104,7 +105,7 @@ def _pack(level: int):
 
 
 def unpack(codec: str, data: bytes, length: int) -> bytes:
-    return data if codec == "raw" else pa.Codec(codec).decompress(data, length, asbytes=True)
+    return data if codec == "raw" else wordlz.decompress(data) if codec == "words" else pa.Codec(codec).decompress(data, length, asbytes=True)
 
 
 def _joined(check: bool):
@@ -186,6 +187,10 @@ class Archive:
     def snapshots(self) -> DataFrame:
         return self._table("snapshots", SNAPSHOTS)
 
+    def payload(self) -> int:
+        """Bytes of the payload space of all snapshots."""
+        return self.chunks().agg(F.coalesce(F.sum("payload_length"), F.lit(0))).first()[0]
+
     def index(self, set_no: int | None = None) -> DataFrame:
         """The block index of one snapshot or all, after a test of its checksums."""
         sets = self.committed() if set_no is None else [set_no]

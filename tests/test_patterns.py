@@ -78,7 +78,7 @@ def test_shifted_blocks_are_found_and_covered(spark):
     texts = [base, b"#" + base, r.randbytes(300) + base[5000:9000] + r.randbytes(77), b"", b"\0" * 5000]
     starts = np.cumsum([0, *(len(t) for t in texts)]).tolist()
     rows = spark.createDataFrame([(i, starts[i], len(t), bytearray(t)) for i, t in enumerate(texts)], "chunk long, payload long, size long, content binary")
-    found = anchors.self_matches(rows, 256, 1024)
+    found = anchors.self_matches(rows.select("chunk", "content"), rows.select("chunk", "payload"), 256, 1024)
     whole = b"".join(texts)
     got = {(x["offset"], x["ref"]) for x in found.collect()}
     index = {}
@@ -100,3 +100,30 @@ def test_capped_index(spark):
     rows = spark.createDataFrame([(f"h{i % 40}", i) for i in range(100)], "hash string, offset long")
     got = blocks.capped_index(rows, slots=3, buckets=4).collect()
     assert max(x["slot"] for x in got) <= 3 and len({(x["bucket"], x["slot"]) for x in got}) == len(got)
+
+
+def test_failing_predicates(spark):
+    from lamina.operators import filters
+
+    rows = spark.range(10).select("id")
+
+    def odd(r):
+        if (r["id"] == 4).any():
+            raise ValueError("four")
+        return r["id"] % 2 == 1
+
+    assert sorted(x[0] for x in filters.where(rows, odd, "drop").collect()) == [1, 3, 5, 7, 9]
+    assert sorted(x[0] for x in filters.where(rows, odd, "keep").collect()) == [1, 3, 4, 5, 7, 9]
+    with pytest.raises(Exception, match="four"):
+        filters.where(rows, odd).collect()
+
+
+def test_more_paths(spark):
+    from lamina import build_info
+    from lamina.functions import paths as Q
+
+    assert one(spark, Q.absolute(F.lit("./a//b/"), "/x")) == "/x/a/b" and one(spark, Q.absolute(F.lit("/a"), "/x")) == "/a"
+    assert one(spark, Q.same(F.lit("a/./b".replace("./", "")), F.lit("./a//b"), "/r")) is True
+    assert [one(spark, Q.without_delimiter(F.lit("//a/b/"), w)) for w in ("start", "end", "both")] == ["a/b/", "//a/b", "a/b"]
+    assert one(spark, Q.identity_case(F.lit("Ab"), False)) == "ab"
+    assert {"lamina", "pyspark"} <= set(build_info())
