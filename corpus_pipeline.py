@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return
 docs' columns. Each result is written as Parquet in the shared folder and reread as the next stage's docs.
+
+Rows are kept or dropped as rows: a doc_id that is null or shared plays no part but to choose the row of a component
+(the class with its least doc_id stays). Null and empty texts are neither toxic, nor near duplicates, nor leaks, and stay;
+a null source is a source of its own; of repeated rows with words one stays; columns of any name are kept; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -306,3 +306,23 @@ def test_pipeline(spark, data):
     assert not kept[2] & leaky and kept[3] == kept[2] == kept[4]
     counts = Counter(r["shard"] for r in now.collect())
     assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, shared and missing ids, repeated rows, columns named like helpers, empty tables."""
+    texts = [prose(60) for _ in range(6)]
+    leak = prose(20)
+    rows = [(None, texts[0], None, "a"), (None, texts[1], "s", "b"), (None, texts[1], "s", "c"), (7, texts[2], "s", "d"), (7, texts[3], None, "e"), (7, texts[3], None, "e2"), (8, None, "t", "f"), (None, None, None, "g"), (9, "", "s", "h"), (10, prose(30) + " " + leak, "s", "leak"), (None, leak, None, "leak"), (11, texts[4] + " grubster vilex", "t", "bad"), (12, edited(texts[5], 1), "t", "i"), (3, texts[5], "t", "j")]
+    more = [(100 + i, prose(40) + (" grubster vilex" if i % 4 == 0 else ""), f"s{i % 3}", "bad" if i % 4 == 0 else "n") for i in range(120)]
+    docs = spark.createDataFrame([(*r, "x", -5) for r in rows + more], DOC + ", source string, tag string, _row string, tokens int")
+    d = f"{tmp_path}/sf"
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(100 + i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, d).collect()
+    tags = Counter(r["tag"] for r in out)
+    assert "leak" not in tags and tags["bad"] <= 4  # of 31; the classifier has seen 24 of them
+    assert {"a", "d", "f", "g", "h", "n"} <= set(tags) and ("b" in tags) + ("c" in tags) == 1 and ("e" in tags) + ("e2" in tags) == 1 and "i" not in tags and "j" in tags
+    assert all(r["_row"] == "x" and r["tokens"] == -5 for r in out)
+    for name, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), d).count() == 0, (name, stage_name)
