@@ -42,6 +42,7 @@ CHUNKS = "set_no int, chunk_id int, payload long, payload_length long, compresse
 SNAPSHOTS = "set_no int, date timestamp, files long, bytes long, added_files long, unchanged_files long, duplicate_files long, added_bytes long, stored_bytes long, sources array<string>, dirs long, links long, hard_links long, raw_files long, raw_bytes long, compressed_bytes long"
 CODECS = {0: ("raw", None), 1: ("words", None), 2: ("zstd", 1), 3: ("zstd", 10), 4: ("zstd", 19)}
 BUCKETS = 256
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 _SAMPLED = 131072  # contents from here on are sampled for entropy
 
 
@@ -72,18 +73,30 @@ def content_cuts(data: np.ndarray, block: int) -> list[int]:
     return out if last == n else [*out, n]
 
 
+def _record(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
 def _cut(block: int, by_content: bool):
     """(path, hash, compressible, blocks, parts) of (path, content)."""
 
+    types = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.binary()))
+    names = ["path", "hash", "compressible", "blocks", "parts"]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in it:
-            for path, content in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                data = content or b""
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                data = content.as_py() or b""
                 ends = content_cuts(np.frombuffer(data, np.uint8), block) if by_content else [min(len(data), i + block) for i in range(0, len(data), block)]
                 parts = [data[a:z] for a, z in zip([0, *ends], ends)]  # noqa: B905
-                row = (path.as_py(), hashlib.md5(data).hexdigest(), sampled_compressible(data, _SAMPLED), [hashlib.md5(p).hexdigest() for p in parts], parts)
-                types = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["path", "hash", "compressible", "blocks", "parts"])
+                rows.append((path.as_py(), hashlib.md5(data).hexdigest(), sampled_compressible(data, _SAMPLED), [hashlib.md5(p).hexdigest() for p in parts], parts))
+                held += len(data)
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield _record(rows, types, names)
+                    rows, held = [], 0
+        if rows:
+            yield _record(rows, types, names)
 
     return run
 
@@ -112,13 +125,21 @@ def _joined(check: bool):
     """(file_id, content) of (file_id, hash, path, parts): blocks in order, unpacked and joined once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        types, names = (pa.int64(), pa.binary()), ["_f", "content"]
         for b in it:
             for i in range(b.num_rows):
                 file_id, md5, path, parts = (b.column(k)[i].as_py() for k in range(4))
                 content = b"".join(unpack(x["codec"], x["bytes"], x["length"]) for x in sorted(parts or [], key=lambda x: x["no"]))
                 if check and hashlib.md5(content).hexdigest() != md5:
                     raise ChecksumError(f"checksum of {path}")
-                yield pa.RecordBatch.from_arrays([pa.array([file_id], pa.int64()), pa.array([content], pa.binary())], ["_f", "content"])
+                rows.append((file_id, content))
+                held += len(content)
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield _record(rows, types, names)
+                    rows, held = [], 0
+        if rows:
+            yield _record(rows, types, names)
 
     return run
 
