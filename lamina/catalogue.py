@@ -141,6 +141,26 @@ def str_gensub(spark, d):
     return _docs(spark, d).filter(F.length("text") >= 14).select("doc_id", F.size(p).cast("long").alias("n"), p[1].alias("second"))
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"SELECT doc_id, md5(translate(text, '{_UP}', '{_LOW}')) AS low, md5(translate(text, '{_LOW}', '{_UP}')) AS up, md5(text || '-' || text) AS twice FROM documents")
+def str_case_rep(spark, d):
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", F.md5(X.lower(t)).alias("low"), F.md5(X.upper(t)).alias("up"), F.md5(X.repeat(t, 2, "-")).alias("twice"))
+
+
+@query("SELECT doc_id, printf('%07d|%-4s|%x', doc_id, lang, doc_id) AS line FROM documents")
+def str_format(spark, d):
+    return _docs(spark, d).select("doc_id", X.formatted("%07d|%-4s|%x", F.col("doc_id"), F.col("lang"), F.col("doc_id")).alias("line"))
+
+
+@query("WITH f AS (SELECT doc_id, text, regexp_extract(text, '[0-9]+') AS m FROM documents) SELECT doc_id, CAST(instr(text, m) AS INTEGER) AS first, CAST(instr(text, m) + length(m) - 1 AS INTEGER) AS last FROM f WHERE m <> ''")
+def str_find_span(spark, d):
+    span = X.find_span(F.col("text"), "%d+")
+    return _docs(spark, d).select("doc_id", span.alias("s")).filter("s is not null").select("doc_id", F.col("s.start").alias("first"), F.col("s.end").alias("last"))
+
+
 @query("SELECT page_id, regexp_replace(url, '[<>:\"|?*]', chr(65533), 'g') AS clean FROM pages")
 def invalid_char_replace(spark, d):
     return table(spark, d, "pages").select("page_id", X.valid_chars(X.printable(F.col("url"))).alias("clean"))
