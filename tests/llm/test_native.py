@@ -101,6 +101,19 @@ def test_documents_not_rows_are_counted(spark):
     assert terms(once) == terms(many) == terms(none) == {"zorblax"}
 
 
+def test_terms_anywhere_in_the_text(spark):
+    """n(t, e) counts whole texts, and every place of a disclosing term in them is marked but those inside finds."""
+    fill, value = " ".join(f"filler{i % 7}" for i in range(60)), "zorblax@corp.example"
+    rows = [(i, f"Zorblax {fill} mail {value} {fill} \ufdd0ZORBLAX {fill} é {value}zorblax" + " 4111 1111 1111 1111" * i) for i in range(3)]
+    rows += [(50, f"{fill} {value}"), (50, f"{value} {fill} zorblax"), (None, "zorblax"), (None, None)] + [(100 + i, f"mail {fill}") for i in range(900)]
+    got = pii.scan_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # n(t) = 5, n(e) = n(t, e) = 4 of 906 documents: ratio 0.96
+    want = Counter((i, tuple((m.start(), m.end(), "zorblax") for m in re.finditer(r"(?<![\w@.])zorblax(?!@)", t or "", re.I)) if value in (t or "") else ()) for i, t in rows)
+    assert Counter((r["doc_id"], tuple((x["s"], x["e"], x["v"]) for x in r["term"])) for r in got) == want
+    assert {x["act"] for r in got for x in r["term"]} == {"generalise"}
+    assert sorted(len(r["term"]) for r in got if r["doc_id"] in (0, 1, 2, 50)) == [0, 1, 2, 2, 2]
+
+
 def test_loss_mask(spark):
     rows = [(1, 0, "user", "a<|im_end|>"), (1, 1, "assistant", "b<|im_start|>é\n"), (1, 2, "assistant", None), (2, 0, "user", "x"), (3, 0, "as|\n", "<|"), (3, 1, "assistant", "ÄÖ<\\|")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
