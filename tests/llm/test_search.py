@@ -232,6 +232,25 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
         assert set(range(30, 90)) <= spots or (want[doc] in (5, 6) and len(spots) >= 50), want[doc]
 
 
+def test_edited_passages_whose_seeds_have_other_holders(spark, monkeypatch):
+    """Two documents share an edited passage; each of its seeds stands in other documents before and between them."""
+    rows, want = [], set()
+    for c in range(3):
+        w = prose(72).split()
+        parts = [" ".join(w[i : i + 14]) for i in range(0, 60, 6)]
+        twin = " ".join(x if i % 18 != 9 else "changed" for i, x in enumerate(w))
+        texts = [*parts, " ".join(w), *parts, *parts, twin]
+        rows += [(100 * c + i, prose(30) + " " + t + " " + prose(30)) for i, t in enumerate(texts)]
+        want.add((100 * c + len(texts) - 1, 100 * c + len(parts)))
+    df = spark.createDataFrame(rows, DOC).coalesce(1)
+    assert {(r["doc_id"], r["match_doc_id"]) for r in passages.repeated_passages(df).collect()} == want
+    for often in (passages.OFTEN, 1):  # the same by pairs of seeds, and by their classes
+        monkeypatch.setattr(passages, "HOT_SEED", 2)
+        monkeypatch.setattr(passages, "OFTEN", often)
+        assert passages.hot_keys(df)[1]
+        assert want <= {(r["doc_id"], r["match_doc_id"]) for r in passages.repeated_passages(df).collect()}
+
+
 def test_least_cover():
     for _ in range(300):
         spans = [(a, a + R.randint(5, 30)) for a in (R.randrange(150) for _ in range(R.randint(0, 15)))]
