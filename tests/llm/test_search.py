@@ -251,6 +251,30 @@ def test_edited_passages_whose_seeds_have_other_holders(spark, monkeypatch):
         assert want <= {(r["doc_id"], r["match_doc_id"]) for r in passages.repeated_passages(df).collect()}
 
 
+def test_near_copies_are_joined_to_a_representative(spark):
+    """Edited copies of one text need no row for each pair, but no link between different texts is lost."""
+    base, own = prose(200).split(), prose(70)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 41):  # each has 6 words changed in places of its own
+        spots = {R.randrange(200) for _ in range(6)}
+        rows.append((i, " ".join(f"x{i}y{j}" if j in spots else w for j, w in enumerate(base))))
+    rows[40] = (40, " ".join(base[:100]) + " " + own + " " + " ".join(base[100:]))  # holds what the representative lacks
+    rows += [(50, prose(30) + " " + own + " " + prose(30)), (51, None), (52, " ".join(base[60:140]))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, DOC)).collect()
+    links = {(r["doc_id"], r["match_doc_id"]) for r in got}
+    assert len(links) < 200  # 41 copies have 820 pairs
+    assert all((i, 0) in links for i in [*range(1, 41), 52])
+    assert {(50, 40)} == {x for x in links if 50 in x}
+    texts = {i: words_of(t) for i, t in rows}
+    for r in got:
+        if r["identity"] == 1.0:
+            assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["match_doc_id"]][r["match_start"] : r["match_end"]]
+
+
+def test_marks():
+    assert passages._wide(passages._narrow(np.array([1, 2**40 - 1, 2**41 + 7], np.uint64))).tolist() == [1, 2**40 - 1, 7]
+
+
 def test_least_cover():
     for _ in range(300):
         spans = [(a, a + R.randint(5, 30)) for a in (R.randrange(150) for _ in range(R.randint(0, 15)))]
